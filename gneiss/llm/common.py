@@ -80,24 +80,20 @@ def bounded_ids(labels: DataFrame, where: Column, key: str, limit: int, seed: in
 
 
 def with_offsets(rows: DataFrame, group: list[str], bucket: str, order: list, size: str | None, out: str) -> DataFrame:
-    """Add ``out``: what stands before a row in its group, ordered by bucket and ``order``.
+    """Add ``out``: what stands before a row in its group, and ``out_all``: the group's total.
 
-    That is the number of earlier rows, or with ``size`` the sum of their sizes.
-    ``bucket`` must be a function of the order's leading key, so that a hot
-    group is dealt over as many tasks as it has buckets. Sums of whole buckets are
-    small (groups x buckets) and running sums over them bring the buckets together.
+    What stands before is the number of earlier rows by ``order``, or with
+    ``size`` the sum of their sizes. Group columns must not be null. ``bucket`` must
+    rise with the order's leading key, so that a hot group is dealt over as many
+    tasks as it has buckets. Sums of whole buckets are small (groups x buckets);
+    running sums over them bring the buckets together.
     """
     amount = F.lit(1) if size is None else F.col(size)
     keys = [*group, bucket]
     sums = rows.groupBy(*keys).agg(F.sum(amount).cast("long").alias("_in"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"), F.sum("_in").over(whole).alias(f"{out}_all"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    left = local.alias("l")
-    right = sums.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return left.join(right, cond).select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("l._local") + F.col("r._before")).cast("long").alias(out))
+    return local.join(sums, keys).withColumn(out, (F.col("_local") + F.col("_before")).cast("long")).drop("_local", "_before")

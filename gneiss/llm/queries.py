@@ -6,10 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.llm import language_id, mixing, quality_classifier, sharding, toxicity, warc
 from gneiss.llm.common import table
 from gneiss.llm.quality_rules import quality_rules
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.interleave(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.archive_pages(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", records["digest"].alias("payload_digest"), "record_type", "refers_to")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality_rules(docs.select("doc_id", "text"), labels)
@@ -17,7 +45,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {
+        "op1_quality_classifier": op1_quality_classifier,
+        "op2_toxicity": op2_toxicity,
+        "op3_sharding": op3_sharding,
+        "op5_language_id": op5_language_id,
+        "op8_mixing": op8_mixing,
+        "op9_warc": op9_warc,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,17 +33,23 @@ BUCKETS = 16384
 TRUSTED_LIMIT = 20_000
 THRESHOLD = -0.3
 MIN_WORDS = 50
+#: Repeated windows up to which each position is looked up among them.
+FEW = 16
 
 SCORED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
 
 
-def ngram_buckets(text: Column, buckets: int) -> Column:
-    """Hashed buckets of all unigrams and bigrams of the lower-cased tokens."""
+def with_ngrams(df: DataFrame, text: Column, buckets: int, name: str = "_ids") -> DataFrame:
+    """Add the hashed buckets of all unigrams and bigrams of the lower-cased tokens.
+
+    ``buckets`` is a power of two. Tokens are hashed once; a bigram mixes two hashes.
+    """
+    mask = F.lit(buckets - 1).cast("long")
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
-    ahead = F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))
-    one = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
-    two = F.zip_with(tokens, ahead, lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
-    return F.array_compact(F.concat(one, two))
+    h, pairs = F.col("_h"), F.greatest(F.size("_h") - 1, F.lit(0))
+    one = F.transform(h, lambda a: a.bitwiseAND(mask))
+    two = F.zip_with(F.slice(h, 1, pairs), F.slice(h, 2, pairs), lambda a, b: F.shiftright(a, 7).bitwiseXOR(b).bitwiseAND(mask))
+    return df.withColumn("_h", F.transform(tokens, lambda t: F.xxhash64(t))).withColumn(name, F.concat(one, two)).drop("_h")
 
 
 def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_limit: int = TRUSTED_LIMIT, seed: int = 10) -> list[float]:
@@ -56,7 +62,8 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_
     trusted = bounded_ids(labels, F.col("quality") == 1, "doc_id", trusted_limit, seed).withColumn("_trusted", F.lit(True))
     rows = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
     counted = (
-        rows.select("_trusted", F.explode(ngram_buckets(clean_text(), buckets)).alias("bucket"))
+        with_ngrams(rows, clean_text(), buckets)
+        .select("_trusted", F.explode(F.transform("_ids", lambda x: x.cast("int"))).alias("bucket"))  # of a bare column, a filter would compute it anew
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("good"))
         .collect()
@@ -70,27 +77,32 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_
 
 
 def base_rules(df: DataFrame) -> DataFrame:
-    """Add the base counts and ``base_failed`` to rows with a text."""
+    """Add the base counts and ``base_failed`` to rows with a text.
+
+    Windows of three words are compared by a 64-bit hash. Most texts repeat none or
+    few of them; only those with many sort windows together with positions.
+    """
     text = clean_text()
-    w, grams, at = F.col("_words"), F.col("_grams"), F.col("_at")
+    w, h, g, dup, at = F.col("_words"), F.col("_h"), F.col("_g"), F.col("_dup"), F.col("_at")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    # windows of three words as (hash, position), sorted so that equal ones are neighbours
-    triples = F.when(
-        F.size(w) >= 3,
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - 3),
-                lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-            )
-        ),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    repeated = F.sort_array(
+    n = F.greatest(F.size(h) - 2, F.lit(0))
+    windows = F.zip_with(
+        F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda a, b: F.shiftleft(a, 2).bitwiseXOR(F.shiftleft(b, 1))),
+        F.slice(h, 3, n),
+        lambda a, b: a.bitwiseXOR(b),
+    )
+    s = F.col("_sorted")
+    repeated = F.when(F.size(F.array_distinct(g)) < F.size(g), F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
+    none = F.array().cast("array<int>")
+    few = F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(dup, x), i)), lambda x: x.isNotNull())
+    pairs = F.col("_pairs")
+    many = F.sort_array(
         F.transform(
             F.filter(
-                F.transform(grams, lambda g, k: F.struct(g["i"].alias("i"), ((F.get(grams, k - 1)["h"] == g["h"]) | (F.get(grams, k + 1)["h"] == g["h"])).alias("r"))),
-                lambda g: g["r"],
+                F.transform(pairs, lambda x, k: F.struct(x["i"].alias("i"), (F.coalesce(F.get(pairs, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(pairs, k + 1)["h"] == x["h"], F.lit(False))).alias("r"))),
+                lambda x: x["r"],
             ),
-            lambda g: g["i"],
+            lambda x: x["i"],
         )
     )
     covered = F.aggregate(
@@ -98,19 +110,23 @@ def base_rules(df: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    plain = F.translate(text, BLANKS, "")
     return (
         df.withColumn("_words", words(text))
-        .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(plain).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
+        .withColumn("n_words", F.size(w).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
+        .withColumn("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long"))
         .withColumn("_lines", lines)
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("_grams", triples)
-        .withColumn("_at", repeated)
+        .withColumn("_h", F.transform(w, lambda x: F.xxhash64(x)))
+        .drop("_words", "_lines")
+        .withColumn("_g", windows)
+        .withColumn("_sorted", F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(g)))
+        .withColumn("_dup", repeated)
+        .withColumn("_pairs", F.when(F.size(dup) > FEW, F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+        .withColumn("_at", F.when(dup.isNull(), none).when(F.size(dup) <= FEW, few).otherwise(many))
         .withColumn("n_repeat_words", covered)
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .drop("_words", "_lines", "_grams", "_at")
+        .drop("_h", "_g", "_sorted", "_dup", "_pairs", "_at")
     )
 
 
@@ -118,9 +134,9 @@ def score(df: DataFrame, table: list[float], threshold: float = THRESHOLD) -> Da
     """Add ``score`` and ``kept``. The table goes into the plan as one constant array."""
     packed = F.split(F.lit(",".join(repr(x) for x in table)), ",").cast("array<double>")
     ids = F.col("_ids")
-    total = F.aggregate(ids, F.lit(0.0), lambda a, b: a + F.get(packed, b))
+    total = F.aggregate(ids, F.lit(0.0), lambda a, b: a + F.get(packed, b.cast("int")))
     return (
-        df.withColumn("_ids", ngram_buckets(clean_text(), len(table)))
+        with_ngrams(df, clean_text(), len(table))
         .withColumn("score", F.when(F.size(ids) > 0, total / F.size(ids)).otherwise(0.0))
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
         .drop("_ids")

@@ -39,6 +39,7 @@ Extra columns are ignored. Hashes have 64 bits; classes are told apart by theirs
 from __future__ import annotations
 
 import gc
+import math
 from functools import cache
 
 import numpy as np
@@ -58,6 +59,10 @@ BAND_RATIO = 1.5
 GROUP_ENTRIES = 1_500_000
 #: Signatures of a token, roughly; sizes the number of groups.
 ENTRIES_PER_TOKEN = 0.8
+#: Chance of a set for which the pigeonhole falls short.
+RARE = 1e-7
+#: What a signature of a single token costs beyond others.
+SINGLE_COST = 4.0
 #: Segments that a guest lists beyond need, as a share of its size.
 SPARE = 0.05
 MEMORY = 1_000_000
@@ -134,34 +139,49 @@ def band_of(size: int) -> int:
     return next(i for i, (_, high) in enumerate(bands()) if size <= high)
 
 
-def _capacity(size: int, segments: int, deletions: bool) -> tuple[float, float]:
-    """Mean and deviation of the differences that a set's listed segments can catch, plus one each."""
-    load = size / segments
-    p0, p1 = np.exp(-load), load * np.exp(-load)
-    if deletions:
-        mean, square = p1 + 2 * (1 - p0 - p1), p1 + 4 * (1 - p0 - p1)
-    else:
-        mean, square = 1 - p0, 1 - p0
-    return segments * mean, float(np.sqrt(max(segments * (square - mean * mean), 0)))
+@cache
+def shortfall(size: int, segments: int, deletions: bool, need: int) -> float:
+    """Probability that a set's listed segments catch fewer than ``need`` differences, plus one each.
+
+    Exact for small sets, tokens falling into segments one by one; normal beyond.
+    """
+    if size > 100:
+        load = size / segments
+        p0, p1 = np.exp(-load), load * np.exp(-load)
+        mean, square = (p1 + 2 * (1 - p0 - p1), p1 + 4 * (1 - p0 - p1)) if deletions else (1 - p0, 1 - p0)
+        z = (segments * mean - need + 0.5) / np.sqrt(max(segments * (square - mean * mean), 1e-9))
+        return 0.5 * math.erfc(z / math.sqrt(2))
+    # chance of (segments with one token, segments with more)
+    state = np.zeros((size + 2, size // 2 + 2))
+    state[0, 0] = 1.0
+    one, more = np.indices(state.shape)
+    for _ in range(size):
+        new = state * more / segments
+        new[1:] += (state * np.maximum(segments - one - more, 0) / segments)[:-1]
+        new[:-1, 1:] += (state * one / segments)[1:, :-1]
+        state = new
+    capacity = one + (2 if deletions else 1) * more
+    return float(state[capacity < need].sum())
 
 
 @cache
 def allocation(band: int) -> tuple[int, bool]:
     """Number of segments of a band and whether they list one-deletion neighbourhoods.
 
-    Of both ways that reach the pigeonhole with a wide margin, the one with the lower
-    cost: signatures listed, plus candidates expected from segments with few tokens.
+    Of both ways that make a shortfall rare, the one with the lower cost: signatures
+    listed, those of a single token counting more as they draw more candidates.
     """
     low, high = bands()[band]
+    sizes = sorted({low, (low + high) // 2, high})
     best = None
     for deletions in (False, True):
-        m = 12
-        while any(mean - 6 * dev < differences(x, x) + 1 and mean < min(x, 2 * m) * 0.98 for x in {low, (low + high) // 2, high} for mean, dev in [_capacity(x, m, deletions)]):
-            m += max(1, m // 50)
+        m = 1
+        while any(shortfall(x, m, deletions, differences(x, x) + 1) > RARE for x in sizes) and m < 16 * high:
+            m += max(1, m // 25)
         load = high / m
-        listed = m * (1 - np.exp(-load)) + (high if deletions else 0)
-        crowded = m * load * np.exp(-load) * (1 if not deletions else 3) * 200 / high
-        cost = listed + crowded
+        singles = m * load * np.exp(-load) + (m * load * load * np.exp(-load) if deletions else 0)
+        listed = m * (1 - np.exp(-load)) + (high - m * load * np.exp(-load) if deletions else 0)
+        cost = listed + SINGLE_COST * singles
         if best is None or cost < best[0]:
             best = (cost, m, deletions)
     return best[1], best[2]
@@ -226,10 +246,6 @@ def entries_of(tokens: np.ndarray) -> tuple[list[tuple[np.ndarray, bool]], int,
     return out, max(spare, 0), short
 
 
-def guest_spare(size: int, band: int, listed: int) -> int:
-    return 0 if allocation(band)[1] else max(listed - guest_need(size), 0)
-
-
 # --- passes over the texts -------------------------------------------------
 
 
@@ -249,7 +265,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 n.append(len(tokens))
                 if len(tokens):
                     keys.append(set_key(tokens))
-                    _, spare, short = entries_of(tokens) if False else (None, *_slack(tokens))
+                    spare, short = _slack(tokens)
                     spares.append(spare)
                     shorts.append(short)
                 else:
@@ -326,28 +342,39 @@ def crowds(packed: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         data = np.concatenate([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()])
-        data = np.unique(data)  # by signature, home first, then class; repeats from other tasks go
-        sig = data["sig"] >> np.uint32(1)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1, [len(sig)]]) if len(sig) else np.zeros(1, np.int64)
-        size = np.diff(starts)
-        found: dict[bytes, list] = {}
-        for i in np.flatnonzero(size > 1):
-            part = data[starts[i] : starts[i + 1]]
-            homes = int((part["sig"] & 1 == 0).sum())
-            if not homes:
+        order = np.argsort((data["sig"].astype(np.uint64) << np.uint64(32)) | (data["key"].view(np.uint64) & np.uint64(0xFFFFFFFF)))
+        sig, key = data["sig"][order], data["key"][order]
+        starts = np.flatnonzero(np.diff(sig >> np.uint32(1), prepend=np.uint32(0xFFFFFFFF)))  # homes come before guests
+        size = np.diff(starts, append=len(sig))
+        lists, homes, shared = [], [], []
+        # most groups hold two entries: all of them at once
+        i = starts[size == 2]
+        i = i[(key[i] != key[i + 1]) & (sig[i] & 1 == 0)]
+        both = sig[i + 1] & 1 == 0
+        hub = np.where(both, np.minimum(key[i], key[i + 1]), key[i])
+        other = np.where(both, np.maximum(key[i], key[i + 1]), key[i + 1])
+        _, at, n = np.unique(mixed(hub.view(np.uint64)) * ODD[0] + mixed(other.view(np.uint64) + both), return_index=True, return_counts=True)
+        lists += np.stack([hub[at], other[at]], 1).tolist()
+        homes += (1 + both[at]).tolist()
+        shared += n.tolist()
+        found: dict[bytes, int] = {}
+        for k in np.flatnonzero(size > 2):
+            part = slice(starts[k], starts[k] + size[k])
+            own = np.unique(key[part][sig[part] & 1 == 0])
+            if not len(own):
                 continue
-            keys = part["key"]
-            if homes < len(keys):
-                keys = np.concatenate([keys[:homes], np.setdiff1d(keys[homes:], keys[:homes])])
+            keys = np.concatenate([own, np.setdiff1d(key[part][sig[part] & 1 == 1], own)])
             if len(keys) < 2:
                 continue
-            name = keys.tobytes() + homes.to_bytes(4, "little")
+            name = keys.tobytes() + len(own).to_bytes(4, "little")
             if name in found:
-                found[name][2] += 1
+                shared[found[name]] += 1
             else:
-                found[name] = [keys, homes, 1]
-        rows = list(found.values())
-        return pa.table({"keys": pa.array([r[0] for r in rows], pa.list_(pa.int64())), "homes": pa.array([r[1] for r in rows], pa.int32()), "shared": pa.array([r[2] for r in rows], pa.int32())})
+                found[name] = len(lists)
+                lists.append(keys.tolist())
+                homes.append(len(own))
+                shared.append(1)
+        return pa.table({"keys": pa.array(lists, pa.list_(pa.int64())), "homes": pa.array(homes, pa.int32()), "shared": pa.array(shared, pa.int32())})
 
     return packed.groupBy("group").applyInArrow(run, "keys array<long>, homes int, shared int")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import language_id, mixing, quality_classifier, sharding, toxicity, warc
+from gneiss.llm import chat_format, decontamination, jaccard_join, language_id, mixing, quality_classifier, sharding, toxicity, warc
 from gneiss.llm.common import table
 from gneiss.llm.quality_rules import quality_rules
 
@@ -24,11 +24,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,7 +61,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_toxicity": op2_toxicity,
         "op3_sharding": op3_sharding,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_language_id": op5_language_id,
+        "op6_chat_format": op6_chat_format,
+        "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
         "op9_warc": op9_warc,
         "op10_quality_rules": op10_quality_rules,
@@ -57,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_format": chat_format.ORACLE}

@@ -146,3 +146,13 @@ def score(df: DataFrame, table: list[float], threshold: float = THRESHOLD) -> Da
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Every row of ``docs`` with its base counts, score and verdict."""
     return score(base_rules(docs.drop(*SCORED)), weights(docs, labels, buckets), threshold)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns.
+
+    The row number keeps Spark from pushing the filter below the steps that make
+    the verdict, where it would repeat each of them.
+    """
+    judged = quality_rules(docs, labels, threshold, buckets).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)

@@ -29,7 +29,7 @@ SAMPLE = 12_000
 FOLDS, HELD_OUT = 5, 0
 SEED = 2
 THRESHOLD = 0.5
-ALPHA, BETA, L1, L2, EPOCHS = 0.2, 1.0, 4.0, 1.0, 3
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.1, 10
 
 
 def features(text: str, hashes: Hashes) -> np.ndarray:

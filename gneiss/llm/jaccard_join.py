@@ -7,23 +7,29 @@ of the sum of their sizes.
 Sizes fall into bands. A band has a partition of the universe: each token belongs
 to one of its segments by hash. The signature of a segment is a hash of the tokens
 that the set has in it. If a set has more non-empty segments than a partner can
-differ in, at least one segment is equal in both. A set is indexed in its own band
-(at home), and as a guest in each higher band that may hold larger partners. At home it
-lists all non-empty segments; as a guest it lists as many as the pigeonhole
-asks for, those with most tokens first, as they are the rarest.
-
-Bands of small sets, whose segments would hold one or two tokens, list
-segments together with their one-deletion neighbourhoods: a segment then catches one
-difference, so half as many, larger segments suffice. ``allocation`` chooses between the
-two by their cost.
-
-Sets that share a signature are candidates. Each such group is first compared
-with one hub, exactly. Where that leaves a group in several components, the
-pairs between components are compared too, except in the most crowded groups of a
-set, of which it may skip as many as it has segments to spare. So no group is
-ever expanded into all its pairs, and no link between different components is lost.
-A set for which the pigeonhole falls short (too few non-empty segments, which the
-allocation makes very rare) is compared by single tokens with all rows, in blocks.
+differ in, at least one segment is equal in both, and in fact as many as it has more. A set
+is indexed in its own band (at home) and as a guest in each higher band that may
+hold larger partners.
+
+Bands of small sets may list segments together with their one-deletion neighbourhoods: a
+segment then catches one difference, so fewer, larger segments suffice.
+``allocation`` chooses the number of segments and between the two ways by their cost.
+
+Tokens in more than ``FREQUENT`` texts (passages that many texts share) cost most,
+as all those texts share their signatures. So signatures are made of the other tokens
+alone wherever a set has enough of them to satisfy the pigeonhole; such a set probes. Sets
+with too few, such as members of large groups of near copies, are found by those that
+probe, and among themselves by signatures of all their tokens. Which tokens count as
+frequent is decided by a sketch over all texts and only matters for cost.
+
+Sets that share a signature are candidates. Those that share fewer signatures
+with all others than a partner must share are left out, and of the others' groups only the
+least crowded are needed (the prefix principle). Each set is first compared exactly with
+the hubs of its groups. Where that leaves a group in several components, the pairs between
+components are compared too. So no group of near copies is ever expanded into all its pairs,
+and no link between different components is lost. A set for which even all its tokens fill
+too few segments (the allocation makes that very rare) is compared by single tokens with all
+rows, in blocks.
 
 Identical sets are one class from the start: signatures name the class, and a task lists a
 class once. Links join classes; components are found by alternating large-star
@@ -58,19 +64,27 @@ BAND_RATIO = 1.5
 #: Entries in a reducer's group.
 GROUP_ENTRIES = 1_500_000
 #: Signatures of a token, roughly; sizes the number of groups.
-ENTRIES_PER_TOKEN = 0.8
-#: Chance of a set for which the pigeonhole falls short.
-RARE = 1e-7
+ENTRIES_PER_TOKEN = 1.0
+#: Chance of a set with too few segments, without and with its frequent tokens.
+THIN, RARE = 1e-3, 1e-7
 #: What a signature of a single token costs beyond others.
 SINGLE_COST = 4.0
-#: Segments that a guest lists beyond need, as a share of its size.
-SPARE = 0.05
+#: Share of tokens that are still there for signatures when the frequent ones are gone, for sizing.
+RARE_TOKENS = 0.7
+#: A token is frequent in more texts than this, and than a few times a bucket's mean load; buckets of the sketch that tells.
+FREQUENT = 64
+LOADS = 4
+SKETCH_BITS = 22
+#: Hubs with which a set is compared in a round, and rounds.
+HUBS = 2
+ROUNDS = 2
 MEMORY = 1_000_000
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
-ENTRY = np.dtype([("sig", "<u4"), ("key", "<i8")])
+#: The two low bits of ``sig`` are the role: 1 for guests, 2 for those that only are indexed. ``least``: signatures shared with a partner.
+ENTRY = np.dtype([("sig", "<u4"), ("least", "<u2"), ("key", "<i8")])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -100,7 +114,7 @@ def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     k = min(n, SHINGLE)
     out = np.full(n - k + 1, k, np.uint64)
     for j in range(k):
-        out += mixed(h[j : n - k + 1 + j] + ODD[j]) * ODD[j]
+        out += h[j : n - k + 1 + j] * ODD[j]
     return np.unique(mixed(out))
 
 
@@ -109,11 +123,15 @@ def set_key(tokens: np.ndarray) -> int:
     return int(mixed(np.asarray([np.add.reduce(mixed(tokens ^ ODD[0])) + np.uint64(len(tokens))], np.uint64))[0].astype(np.int64))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b) or min(len(a), len(b)) * DEN < max(len(a), len(b)) * NUM:
-        return False
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[bool, float]:
+    """Whether two sets link, and their Jaccard distance."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * DEN >= (len(a) + len(b) - both) * NUM
+    union = len(a) + len(b) - both
+    return both > 0 and both * DEN >= union * NUM, 1 - both / max(union, 1)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    return overlap(a, b)[0]
 
 
 # --- partition -------------------------------------------------------------
@@ -124,6 +142,11 @@ def differences(a: int, b: int) -> int:
     return (a + b) * (DEN - NUM) // (DEN + NUM)
 
 
+def need(size: int) -> int:
+    """Differences that a set's segments must catch, plus one, whatever the partner's size."""
+    return differences(size, size * DEN // NUM) + 1
+
+
 @cache
 def bands() -> list[tuple[int, int]]:
     out, low = [], 1
@@ -172,11 +195,11 @@ def allocation(band: int) -> tuple[int, bool]:
     listed, those of a single token counting more as they draw more candidates.
     """
     low, high = bands()[band]
-    sizes = sorted({low, (low + high) // 2, high})
+    sizes = sorted({max(1, -(-low * NUM // DEN)), low, (low + high) // 2, high})
     best = None
     for deletions in (False, True):
         m = 1
-        while any(shortfall(x, m, deletions, differences(x, x) + 1) > RARE for x in sizes) and m < 16 * high:
+        while m < 16 * high and any(shortfall(x, m, deletions, need(x)) > RARE or (x > 20 and shortfall(int(x * RARE_TOKENS), m, deletions, need(x)) > THIN) for x in sizes):
             m += max(1, m // 25)
         load = high / m
         singles = m * load * np.exp(-load) + (m * load * load * np.exp(-load) if deletions else 0)
@@ -187,37 +210,29 @@ def allocation(band: int) -> tuple[int, bool]:
     return best[1], best[2]
 
 
-def signatures(tokens: np.ndarray, band: int, most: int | None) -> tuple[np.ndarray, int]:
-    """Signatures of a set in a band, and the differences they can catch plus one.
+def segments_of(tokens: np.ndarray, m: int) -> np.ndarray:
+    """The segment of each token, by its high bits; sorted tokens have sorted segments."""
+    return (((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
 
-    ``most``: list no more segments than reach this capacity (guests).
-    """
+
+def signatures(tokens: np.ndarray, band: int, salt: int) -> tuple[np.ndarray, int]:
+    """Signatures of a set in a band, and the differences that its segments can catch, plus one."""
+    if not len(tokens):
+        return np.zeros(0, np.uint64), 0
     m, deletions = allocation(band)
-    segment = ((tokens >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
-    count = np.bincount(segment, minlength=m)
-    if most is not None and not deletions:
-        order = np.argsort(-count, kind="stable")[:most]
-        keep = np.zeros(m, bool)
-        keep[order] = True
-        keep &= count > 0
-    else:
-        keep = count > 0
+    segment = segments_of(tokens, m)
+    starts = np.flatnonzero(np.diff(segment, prepend=-1))
+    count = np.diff(starts, append=len(tokens))
     value = mixed(tokens + ODD[1])
-    total = np.zeros(m, np.uint64)
-    np.add.at(total, segment, value)
-    place = mixed(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
-    out = [mixed(total[keep] * ODD[2] + place[keep])]
-    capacity = int(keep.sum())
-    if deletions:
-        more = count[segment] > 1
-        out.append(mixed((total[segment[more]] - value[more]) * ODD[2] + place[segment[more]]))
-        capacity += int((count > 1).sum())
-    return np.concatenate(out), capacity
-
-
-def guest_need(size: int) -> int:
-    """Segments that a guest must list: partners are at most size * 4/3."""
-    return differences(size, size * DEN // NUM) + 1
+    total = np.add.reduceat(value, starts)
+    place = mixed(segment[starts].astype(np.uint64) + np.uint64((band << 32) + (salt << 48)))
+    out = mixed(total * ODD[2] + place)
+    if not deletions:
+        return out, len(starts)
+    which = np.repeat(np.arange(len(starts)), count)
+    more = count[which] > 1
+    which = which[more]
+    return np.concatenate([out, mixed((total[which] - value[more]) * ODD[2] + place[which])]), len(starts) + int((count > 1).sum())
 
 
 def guest_bands(size: int) -> list[int]:
@@ -229,21 +244,33 @@ def guest_bands(size: int) -> list[int]:
     return out
 
 
-def entries_of(tokens: np.ndarray) -> tuple[list[tuple[np.ndarray, bool]], int, bool]:
-    """(signatures, guest) for each band, segments to spare at home, and whether the pigeonhole falls short."""
+GUEST, INDEXED = 1, 2
+
+
+def entries_of(tokens: np.ndarray, frequent: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, int, int]], bool]:
+    """(signatures, role, least shared with a partner) of a set in each band, and whether they fall short.
+
+    Without its frequent tokens if enough others fill its segments in each band; else
+    it is indexed by those others and listed by all its tokens.
+    """
     size = len(tokens)
-    home, capacity = signatures(tokens, band_of(size), None)
-    spare = capacity - differences(size, size) - 1
-    short = spare < 0
-    out = [(home, False)]
-    for b in guest_bands(size):
-        need = guest_need(size)
-        found, got = signatures(tokens, b, need + int(SPARE * size) + 1)
-        short |= got < need
-        out.append((found, True))
-    if allocation(band_of(size))[1]:
-        spare = 0  # a segment with deletions spans several groups
-    return out, max(spare, 0), short
+    where = [(band_of(size), 0), *[(b, GUEST) for b in guest_bands(size)]]
+    rest = tokens if frequent is None else tokens[~frequent[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]]
+
+    def listed_by(part: np.ndarray, salt: int) -> tuple[list, bool]:
+        out, short = [], False
+        for b, role in where:
+            found, capacity = signatures(part, b, salt)
+            short |= capacity < need(size)
+            # a segment with deletions spans several signatures, so only one is certain
+            out.append((found, role, 1 if allocation(b)[1] else max(min(capacity - need(size) + 1, 65535), 1)))
+        return out, short
+
+    out, thin = listed_by(rest, 0)
+    if not thin:
+        return out, False
+    full, short = listed_by(tokens, 1)
+    return [(found, role | INDEXED, 1) for found, role, _ in out if len(found)] + full, short
 
 
 # --- passes over the texts -------------------------------------------------
@@ -254,52 +281,56 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key, spare and short of every row."""
+    """doc_id, n_shingles and key of every row; and a row with n_shingles -1 and a sketch for each task.
+
+    A sketch has (bucket, count) of tokens for buckets that a task met more than once.
+    """
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, names = WordHashes(), ["doc_id", "n_shingles", "key", "sketch"]
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            n, keys, spares, shorts = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                tokens = shingle_set(t, hashes)
-                n.append(len(tokens))
-                if len(tokens):
-                    keys.append(set_key(tokens))
-                    spare, short = _slack(tokens)
-                    spares.append(spare)
-                    shorts.append(short)
-                else:
-                    keys.append(None)
-                    spares.append(0)
-                    shorts.append(False)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(spares, pa.int32()), pa.array(shorts, pa.bool_())], names=["doc_id", "n_shingles", "key", "spare", "short"])
+            found = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
+            if found:
+                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
+            keys = [set_key(x) if len(x) else None for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(found), pa.binary())], names=names)
+        at = np.flatnonzero(counts > 1)
+        sketch = np.stack([at.astype(np.int32), counts[at]], 1).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([sketch], pa.binary())], names=names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key long, spare int, short boolean")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key long, sketch binary")
 
 
-def _slack(tokens: np.ndarray) -> tuple[int, bool]:
-    """Segments to spare at home, and whether the pigeonhole falls short in any band."""
-    size = len(tokens)
-    short, spare = False, 0
-    for b in [band_of(size), *guest_bands(size)]:
-        m, deletions = allocation(b)
-        count = np.bincount(((tokens >> np.uint64(20)) % np.uint64(m)).astype(np.int64), minlength=m)
-        capacity = int((count > 0).sum()) + (int((count > 1).sum()) if deletions else 0)
-        if b == band_of(size):
-            left = capacity - differences(size, size) - 1
-            short, spare = left < 0, 0 if deletions else max(left, 0)
-        else:
-            short |= capacity < guest_need(size)
-    return spare, short
+def frequent_buckets(rows: DataFrame, total: int) -> np.ndarray:
+    """Buckets of the sketch that many texts meet, as a table of bits; ``total`` tokens are in all sets.
 
+    By the load they are at most a share of all buckets, whatever the number of texts.
+    """
 
-def listed(docs: DataFrame, groups: int) -> DataFrame:
-    """Rows (group, entries): signatures with their class, packed, one row for each group and batch."""
+    def run(batches):
+        for batch in batches:
+            for x in batch.column("sketch").to_pylist():
+                pairs = np.frombuffer(x, np.int32).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["bucket", "n"])
+
+    counted = rows.where("n_shingles = -1").select("sketch").mapInArrow(run, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(1 << SKETCH_BITS, bool)
+    out[[r["bucket"] for r in counted.where(F.col("n") > max(FREQUENT, LOADS * total >> SKETCH_BITS)).select("bucket").collect()]] = True
+    return out
+
+
+def listed(docs: DataFrame, groups: int, frequent: np.ndarray | None) -> DataFrame:
+    """Rows (group, entries): signatures with their class, packed, one row for each group and batch.
+
+    Group -1 has the classes for which the signatures fall short.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        hashes, seen = WordHashes(), set()
+        hashes, seen, common = WordHashes(), set(), shared.value
         for batch in batches:
-            sigs, keys, guests = [], [], []
+            sigs, keys, roles, least, short = [], [], [], [], []
             for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if doc_id is None:
                     continue
@@ -312,71 +343,83 @@ def listed(docs: DataFrame, groups: int) -> DataFrame:
                 if len(seen) > MEMORY:
                     seen.clear()
                 seen.add(key)
-                for found, guest in entries_of(tokens)[0]:
-                    sigs.append(found)
-                    keys.append(np.full(len(found), key, np.int64))
-                    guests.append(np.full(len(found), guest, bool))
+                found, falls_short = entries_of(tokens, common)
+                if falls_short:
+                    short.append(key)
+                for x, role, n in found:
+                    sigs.append(x)
+                    keys.append(np.full(len(x), key, np.int64))
+                    roles.append(np.full(len(x), role, np.uint32))
+                    least.append(np.full(len(x), n, np.uint16))
             if not sigs:
                 continue
-            sig, key, guest = np.concatenate(sigs), np.concatenate(keys), np.concatenate(guests)
+            sig = np.concatenate(sigs)
             group = ((sig >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
             order = np.argsort(group, kind="stable")
             packed = np.empty(len(sig), ENTRY)
-            packed["sig"] = (sig.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | guest
-            packed["key"] = key
+            packed["sig"] = (sig.astype(np.uint32) & np.uint32(0xFFFFFFFC)) | np.concatenate(roles)
+            packed["least"] = np.concatenate(least)
+            packed["key"] = np.concatenate(keys)
             packed, group = packed[order], group[order]
             cuts = np.flatnonzero(np.diff(group)) + 1
-            starts = np.concatenate([[0], cuts])
-            stops = np.concatenate([cuts, [len(group)]])
-            yield pa.RecordBatch.from_arrays([pa.array(group[starts], pa.int32()), pa.array([packed[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary())], names=["group", "entries"])
+            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(group)]])
+            numbers, blobs = group[starts].tolist(), [packed[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]
+            if short:
+                lone = np.zeros(len(short), ENTRY)
+                lone["key"] = short
+                numbers, blobs = [*numbers, -1], [*blobs, lone.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["group", "entries"])
 
     return _texts(docs).mapInArrow(run, "group int, entries binary")
 
 
 def crowds(packed: DataFrame) -> DataFrame:
-    """Groups of different classes under one signature, at least one of them at home.
+    """Different classes under one signature: their keys in order, roles, and what each must share with a partner.
 
-    ``keys`` begins with the hub, the smallest class at home; then the others at home, then guests.
-    Equal groups within a reducer's part are listed once, with the number of signatures they share.
+    Not all of them are guests and not all are only indexed. Equal groups within a
+    reducer's part are listed once, with the number of signatures. A class for which the
+    signatures fall short is listed alone.
     """
 
     def run(table: pa.Table) -> pa.Table:
         data = np.concatenate([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()])
-        order = np.argsort((data["sig"].astype(np.uint64) << np.uint64(32)) | (data["key"].view(np.uint64) & np.uint64(0xFFFFFFFF)))
-        sig, key = data["sig"][order], data["key"][order]
-        starts = np.flatnonzero(np.diff(sig >> np.uint32(1), prepend=np.uint32(0xFFFFFFFF)))  # homes come before guests
-        size = np.diff(starts, append=len(sig))
-        lists, homes, shared = [], [], []
-        # most groups hold two entries: all of them at once
-        i = starts[size == 2]
-        i = i[(key[i] != key[i + 1]) & (sig[i] & 1 == 0)]
-        both = sig[i + 1] & 1 == 0
-        hub = np.where(both, np.minimum(key[i], key[i + 1]), key[i])
-        other = np.where(both, np.maximum(key[i], key[i + 1]), key[i + 1])
-        _, at, n = np.unique(mixed(hub.view(np.uint64)) * ODD[0] + mixed(other.view(np.uint64) + both), return_index=True, return_counts=True)
-        lists += np.stack([hub[at], other[at]], 1).tolist()
-        homes += (1 + both[at]).tolist()
-        shared += n.tolist()
-        found: dict[bytes, int] = {}
-        for k in np.flatnonzero(size > 2):
-            part = slice(starts[k], starts[k] + size[k])
-            own = np.unique(key[part][sig[part] & 1 == 0])
-            if not len(own):
-                continue
-            keys = np.concatenate([own, np.setdiff1d(key[part][sig[part] & 1 == 1], own)])
-            if len(keys) < 2:
-                continue
-            name = keys.tobytes() + len(own).to_bytes(4, "little")
-            if name in found:
-                shared[found[name]] += 1
-            else:
-                found[name] = len(lists)
-                lists.append(keys.tolist())
-                homes.append(len(own))
-                shared.append(1)
-        return pa.table({"keys": pa.array(lists, pa.list_(pa.int64())), "homes": pa.array(homes, pa.int32()), "shared": pa.array(shared, pa.int32())})
+        lists, roles, least, shared = [], [], [], []
+        if table.column("group")[0].as_py() == -1:
+            lists = [[k] for k in np.unique(data["key"]).tolist()]
+            roles, least, shared = [[0]] * len(lists), [[1]] * len(lists), [1] * len(lists)
+        else:
+            data = data[np.argsort((data["sig"].astype(np.uint64) >> np.uint64(2) << np.uint64(34)) | (data["key"].view(np.uint64) >> np.uint64(30)), kind="stable")]
+            sig, key, role = data["sig"] >> np.uint32(2), data["key"], (data["sig"] & 3).astype(np.int8)
+            starts = np.flatnonzero(np.diff(sig, prepend=np.uint32(0xFFFFFFFF)))
+            size = np.diff(starts, append=len(sig))
+            # most groups hold two entries: all of them at once
+            i = starts[size == 2]
+            i = i[(key[i] != key[i + 1]) & (role[i] & role[i + 1] == 0)]
+            name = mixed(key[i].view(np.uint64) + ODD[0]) * ODD[1] + mixed(key[i + 1].view(np.uint64)) + (role[i] * 4 + role[i + 1]).astype(np.uint64)
+            _, at, n = np.unique(name, return_index=True, return_counts=True)
+            i = i[at]
+            lists += np.stack([key[i], key[i + 1]], 1).tolist()
+            roles += np.stack([role[i], role[i + 1]], 1).tolist()
+            least += np.stack([data["least"][i], data["least"][i + 1]], 1).tolist()
+            shared += n.tolist()
+            found: dict[bytes, int] = {}
+            for a, k in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                keys, first = np.unique(key[a : a + k], return_index=True)
+                own = role[a : a + k][first]
+                if len(keys) < 2 or np.bitwise_and.reduce(own):
+                    continue
+                name = keys.tobytes() + own.tobytes()
+                if name in found:
+                    shared[found[name]] += 1
+                else:
+                    found[name] = len(lists)
+                    lists.append(keys.tolist())
+                    roles.append(own.tolist())
+                    least.append(data["least"][a : a + k][first].tolist())
+                    shared.append(1)
+        return pa.table({"keys": pa.array(lists, pa.list_(pa.int64())), "roles": pa.array(roles, pa.list_(pa.int32())), "least": pa.array(least, pa.list_(pa.int32())), "shared": pa.array(shared, pa.int32())})
 
-    return packed.groupBy("group").applyInArrow(run, "keys array<long>, homes int, shared int")
+    return packed.groupBy("group").applyInArrow(run, "keys array<long>, roles array<int>, least array<int>, shared int")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -398,17 +441,22 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, tokens binary").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their whole sets. ``b`` may be hot."""
-    first = pairs.join(known.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
+def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with ``linked`` and ``distance``, by their whole sets. ``b`` may be hot."""
+    first = pairs.select("a", "b").join(known.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
     both = first.join(known.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            found = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([x for x, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.float64())], names=["a", "b", "linked", "distance"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, linked boolean, distance double")
+
+
+def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link."""
+    return compared(pairs, known).where("linked").select("a", "b")
 
 
 def short_pairs(docs: DataFrame, short: DataFrame, block: int = 2_000_000) -> list[DataFrame]:
@@ -487,36 +535,77 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    rows = materialize(sets(docs), "sets")
-    classes = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("spare").alias("spare"), F.max("short").alias("short"))
+    scanned = materialize(sets(docs), "sets")
+    rows = scanned.where("n_shingles >= 0").drop("sketch")
+    classes = rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     classes = materialize(classes, "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(2 * parts, int(total * ENTRIES_PER_TOKEN / GROUP_ENTRIES) + 1)
-    crowd = materialize(crowds(listed(docs, groups)), "crowds")
+    crowd = materialize(crowds(listed(docs, groups, frequent_buckets(scanned, total))), "crowds")
     _free_shuffles(spark)
-    member = crowd.select(F.explode("keys").alias("key")).distinct()
-    wanted = classes.join(member, "key", "left_semi").unionByName(classes.where("short")).dropDuplicates(["key"]) if classes.where("short").limit(1).count() else classes.join(member, "key", "left_semi")
-    known = materialize(class_sets(docs, wanted.select("key", F.col("rep").alias("doc_id"))), "tokens")
+    named = materialize(members(crowd), "members")
+    lone = crowd.where(F.size("keys") == 1).select(F.get("keys", F.lit(0)).alias("key")).distinct()
+    wanted = named.select("key").union(lone).distinct()
+    known = materialize(class_sets(docs, classes.join(wanted, "key").select("key", F.col("rep").alias("doc_id"))), "tokens")
     _free_shuffles(spark)
 
-    # each group against its hub, and the few sets that need another way
-    star = crowd.select(F.explode(F.slice("keys", 2, F.size("keys") - 1)).alias("a"), F.get("keys", F.lit(0)).alias("b")).distinct()
-    star = _of_like_size(star, classes)
-    links = verified(star, known)
-    for extra in short_pairs(docs, known.join(classes.where("short"), "key", "left_semi")):
-        links = links.unionByName(verified(_of_like_size(extra, classes), known_of(docs, extra, classes)))
-    links = materialize(links, "verified")
-    found = components(links)
-
-    rest = _residual(crowd, found, classes, star)
-    more = materialize(verified(rest, known), "verified")
-    links = links.unionByName(more)
+    # the few sets that need another way, then each set against hubs of its groups, then what is left
+    links, done = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long")
+    for extra in short_pairs(docs, known.join(lone, "key", "left_semi")):
+        extra = materialize(_of_like_size(extra, classes), "pairs")
+        links = links.unionByName(materialize(verified(extra, known_of(docs, extra, classes)), "verified"))
+    placed, near = named.withColumn("root", F.col("key")), None
+    for _ in range(ROUNDS):
+        star = materialize(_of_like_size(hub_pairs(placed), classes), "pairs")
+        told = materialize(compared(star, known), "verified")
+        links, done = links.unionByName(told.where("linked").select("a", "b")), done.unionByName(star)
+        near = hub_distances(told) if near is None else near
+        placed = materialize(with_roots(named, components(links)), "members")
+        _free_shuffles(spark)
+    rest = materialize(_residual(placed, classes, near, done), "pairs")
+    links = links.unionByName(materialize(verified(rest, known), "verified"))
     rep = classes.select("key", "rep")
-    named = links.join(rep.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b")
-    roots = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    between = links.join(rep.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b")
+    roots = components(between.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     out = rows.join(rep, "key", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("_c")).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("_c")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+
+
+def members(crowd: DataFrame) -> DataFrame:
+    """(g, key, role, shared) of the groups that are needed.
+
+    ``least`` bounds from below what a set shares with each partner. With fewer
+    signatures in all groups together it has no partner. Otherwise, in one common order of the
+    groups by crowd, it needs no more than the groups before its last ``least - 1``
+    signatures: what two partners share first cannot come later.
+    """
+    named = crowd.where(F.size("keys") > 1).select(F.xxhash64("keys", "roles").alias("g"), "shared", F.size("keys").alias("k"), F.explode(F.arrays_zip("keys", "roles", "least")).alias("m"))
+    named = named.groupBy("g", F.col("m.keys").alias("key"), F.col("m.roles").alias("role")).agg(F.sum("shared").alias("shared"), F.max("k").alias("k"), F.min("m.least").alias("least"))
+    whole = Window.partitionBy("key", "role")
+    before = whole.orderBy("k", "g").rowsBetween(Window.unboundedPreceding, -1)
+    named = named.withColumn("all", F.sum("shared").over(whole)).withColumn("before", F.coalesce(F.sum("shared").over(before), F.lit(0)))
+    return named.where("before <= all - least").select("g", "key", "role", "shared")
+
+
+def with_roots(named: DataFrame, found: DataFrame) -> DataFrame:
+    return named.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def hub_pairs(placed: DataFrame) -> DataFrame:
+    """(a, b): each set and the hubs of other components with which it shares most.
+
+    A group's hub is its most central set at home: that whose groups are the most
+    crowded, as those of an original among its edited copies.
+    """
+    own = placed.where(F.col("role").bitwiseAND(GUEST) == 0)
+    crowd = Window.partitionBy("g")
+    central = placed.withColumn("k", F.count(F.lit(1)).over(crowd)).groupBy("key").agg(F.sum(F.col("k") * F.col("shared")).alias("c"))
+    ranked = own.join(central, "key").groupBy("g", "root").agg(F.max(F.struct("c", "key")).alias("h"))
+    hubs = ranked.groupBy("g").agg(F.max(F.struct("h", F.col("root").alias("to"))).alias("x")).select("g", F.col("x.h.key").alias("hub"), "x.to")
+    pairs = placed.join(hubs, "g").where("root <> to").groupBy("key", "hub").agg(F.sum("shared").alias("n"))
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "hub"))
+    return pairs.withColumn("_r", best).where(F.col("_r") <= HUBS).select(F.col("key").alias("a"), F.col("hub").alias("b"))
 
 
 def known_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -532,21 +621,24 @@ def _of_like_size(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.where((F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)).select("a", "b")
 
 
-def _residual(crowd: DataFrame, found: DataFrame, classes: DataFrame, star: DataFrame) -> DataFrame:
-    """Pairs of different components in a group that neither side may skip, not compared yet."""
-    named = crowd.where(F.size("keys") > 2).select(F.xxhash64("keys", "homes").alias("g"), "shared", "homes", F.size("keys").alias("k"), F.posexplode("keys").alias("i", "key"))
-    named = named.groupBy("g", "key").agg(F.sum("shared").alias("shared"), F.max("k").alias("k"), F.min(F.col("i") >= F.col("homes")).alias("guest"))
-    named = named.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    split = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    named = named.join(split, "g", "left_semi").join(classes.select("key", "n", "spare"), "key")
-    # a set may skip its most crowded groups, as many signatures as it has to spare
-    first = Window.partitionBy("key", "guest").orderBy(F.desc("k"), "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = named.withColumn("skip", ~F.col("guest") & (F.sum("shared").over(first) <= F.col("spare")))
-    left, right = named.alias("x"), named.alias("y")
-    larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") > F.col("y.key")))
-    like = F.col("y.n") * DEN >= F.col("x.n") * NUM
-    # the larger set probes at home, unless the other is a guest, which then probes
-    probes = ~F.col("x.guest") & F.when(F.col("y.guest"), F.lit(True)).otherwise(~F.col("x.skip"))
-    pairs = left.join(right, (F.col("x.g") == F.col("y.g")) & larger & like & probes & (F.col("x.root") != F.col("y.root")))
+def hub_distances(told: DataFrame) -> DataFrame:
+    """(key, hub, distance): the nearest hub of each set; a hub's own is itself."""
+    to_self = told.select(F.col("b").alias("key"), F.col("b").alias("hub"), F.lit(0.0).alias("distance"))
+    both = told.select(F.col("a").alias("key"), F.col("b").alias("hub"), "distance").unionByName(to_self)
+    return both.groupBy("key").agg(F.min(F.struct("distance", "hub")).alias("x")).select("key", "x.hub", "x.distance")
+
+
+def _residual(placed: DataFrame, classes: DataFrame, near: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs of different components in a group, not compared yet.
+
+    Jaccard distance is a metric: sets whose distances to one hub differ by more than a
+    link spans do not link.
+    """
+    split = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
+    named = placed.join(split, "g", "left_semi").join(classes.select("key", "n"), "key").join(near, "key", "left")
+    like = F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM
+    roles = F.col("x.role").bitwiseAND(F.col("y.role")) == 0  # not both guests, not both only indexed
+    far = (F.col("x.hub") == F.col("y.hub")) & (F.abs(F.col("x.distance") - F.col("y.distance")) > 1 - NUM / DEN + 1e-9)
+    pairs = named.alias("x").join(named.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.key") > F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & like & roles & ~F.coalesce(far, F.lit(False)))
     pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    return pairs.join(star, (pairs["a"] == star["a"]) & (pairs["b"] == star["b"]), "left_anti").join(star, (pairs["a"] == star["b"]) & (pairs["b"] == star["a"]), "left_anti")
+    return pairs.join(done.union(done.select("b", "a")), ["a", "b"], "left_anti")

@@ -46,6 +46,7 @@ from __future__ import annotations
 
 import gc
 import math
+import zlib
 from functools import cache
 
 import numpy as np
@@ -78,7 +79,11 @@ SKETCH_BITS = 22
 #: Hubs with which a set is compared in a round, and rounds.
 HUBS = 2
 ROUNDS = 2
-MEMORY = 1_000_000
+#: Words and classes that a task remembers, and rows that it holds at a time.
+MEMORY = 300_000
+ROWS = 1_000
+#: Parts in which sketches are summed.
+PARTS = 64
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -276,28 +281,35 @@ def entries_of(tokens: np.ndarray, frequent: np.ndarray | None = None) -> tuple[
 # --- passes over the texts -------------------------------------------------
 
 
+def _small(batches, rows: int = ROWS):
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and key of every row; and a row with n_shingles -1 and a sketch for each task.
+    """doc_id, n_shingles and key of every row; and parts of each task's sketch, with n_shingles below 0.
 
-    A sketch has (bucket, count) of tokens for buckets that a task met more than once.
+    A sketch counts a task's tokens by bucket. Part p of it has n_shingles -1 - p.
     """
 
     def run(batches):
         hashes, names = WordHashes(), ["doc_id", "n_shingles", "key", "sketch"]
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        for batch in batches:
+        for batch in _small(batches):
             found = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
-            if found:
-                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
+            at, n = np.unique((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+            counts[at] += n.astype(np.int32)
             keys = [set_key(x) if len(x) else None for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(found), pa.binary())], names=names)
-        at = np.flatnonzero(counts > 1)
-        sketch = np.stack([at.astype(np.int32), counts[at]], 1).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([sketch], pa.binary())], names=names)
+        small = np.minimum(counts, 65535).astype("<u2").reshape(PARTS, -1)
+        for part in range(PARTS):
+            packed = zlib.compress(small[part].tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1 - part], pa.int64()), pa.array([None], pa.int64()), pa.array([packed], pa.binary())], names=names)
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key long, sketch binary")
 
@@ -307,16 +319,17 @@ def frequent_buckets(rows: DataFrame, total: int) -> np.ndarray:
 
     By the load they are at most a share of all buckets, whatever the number of texts.
     """
+    least = max(FREQUENT, LOADS * total >> SKETCH_BITS)
 
-    def run(batches):
-        for batch in batches:
-            for x in batch.column("sketch").to_pylist():
-                pairs = np.frombuffer(x, np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["bucket", "n"])
+    def run(table: pa.Table) -> pa.Table:
+        part, counts = -1 - table.column("n_shingles")[0].as_py(), np.zeros((1 << SKETCH_BITS) // PARTS, np.int64)
+        for x in table.column("sketch"):
+            counts += np.frombuffer(zlib.decompress(x.as_py()), "<u2")
+        return pa.table({"bucket": pa.array(np.flatnonzero(counts > least) + part * len(counts), pa.int32())})
 
-    counted = rows.where("n_shingles = -1").select("sketch").mapInArrow(run, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = rows.where("n_shingles < 0").select("n_shingles", "sketch").groupBy("n_shingles").applyInArrow(run, "bucket int")
     out = np.zeros(1 << SKETCH_BITS, bool)
-    out[[r["bucket"] for r in counted.where(F.col("n") > max(FREQUENT, LOADS * total >> SKETCH_BITS)).select("bucket").collect()]] = True
+    out[[r["bucket"] for r in found.collect()]] = True
     return out
 
 
@@ -329,7 +342,7 @@ def listed(docs: DataFrame, groups: int, frequent: np.ndarray | None) -> DataFra
 
     def run(batches):
         hashes, seen, common = WordHashes(), set(), shared.value
-        for batch in batches:
+        for batch in _small(batches):
             sigs, keys, roles, least, short = [], [], [], [], []
             for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if doc_id is None:
@@ -428,7 +441,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in _small(batches):
             keys, tokens = [], []
             for key, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = shingle_set(t, hashes)
@@ -447,7 +460,7 @@ def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
     both = first.join(known.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             found = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([x for x, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.float64())], names=["a", "b", "linked", "distance"])
 
@@ -472,7 +485,7 @@ def short_pairs(docs: DataFrame, short: DataFrame, block: int = 2_000_000) -> li
         def run(batches):
             hashes = WordHashes()
             at, who = shared.value
-            for batch in batches:
+            for batch in _small(batches):
                 a, b = [], []
                 for t in batch.column("text").to_pylist():
                     tokens = shingle_set(t, hashes)

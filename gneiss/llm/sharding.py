@@ -2,8 +2,8 @@
 
 Rows of each source are shuffled by a seeded hash and ranked. Rank k of n gets
 the fraction (2k+1)/2n. All rows are sorted by that fraction and cut into
-shards of equal count, so each shard has every source in proportion (within one
-row for each source).
+shards of equal count, so each shard has every source in proportion, up to a row or
+two where fractions of several sources are equal at a cut.
 
 Ranks come from bucketed offsets: no task holds more than one bucket of a source,
 however hot the source. Only the key, source, size and checksum are shuffled.

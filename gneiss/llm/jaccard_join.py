@@ -25,8 +25,9 @@ frequent is decided by a sketch over all texts and only matters for cost.
 Sets that share a signature are candidates. Those that share fewer signatures
 with all others than a partner must share are left out, and of the others' groups only the
 least crowded are needed (the prefix principle). Each set is first compared exactly with
-the hubs of its groups. Where that leaves a group in several components, the pairs between
-components are compared too. So no group of near copies is ever expanded into all its pairs,
+hubs of its groups. Sets around one hub that are then in different components are compared in
+cells, by matrix products that count common tokens; pairs in a group that share no hub
+are compared one by one. So no group of near copies is ever expanded into all its pairs,
 and no link between different components is lost. A set for which even all its tokens fill
 too few segments (the allocation makes that very rare) is compared by single tokens with all
 rows, in blocks.
@@ -77,8 +78,11 @@ FREQUENT = 64
 LOADS = 4
 SKETCH_BITS = 22
 #: Hubs with which a set is compared in a round, and rounds.
-HUBS = 2
+HUBS = 4
 ROUNDS = 2
+#: Distance to a hub up to which a set counts to its cluster, and sets a side of a cell.
+AROUND = 1.0
+CLUSTER_BLOCK = 1_000
 #: Words and classes that a task remembers, and rows that it holds at a time.
 MEMORY = 300_000
 ROWS = 1_000
@@ -128,15 +132,9 @@ def set_key(tokens: np.ndarray) -> int:
     return int(mixed(np.asarray([np.add.reduce(mixed(tokens ^ ODD[0])) + np.uint64(len(tokens))], np.uint64))[0].astype(np.int64))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> tuple[bool, float]:
-    """Whether two sets link, and their Jaccard distance."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    union = len(a) + len(b) - both
-    return both > 0 and both * DEN >= union * NUM, 1 - both / max(union, 1)
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    return overlap(a, b)[0]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and both * DEN >= (len(a) + len(b) - both) * NUM
 
 
 # --- partition -------------------------------------------------------------
@@ -454,22 +452,17 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, tokens binary").dropDuplicates(["key"])
 
 
-def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes with ``linked`` and ``distance``, by their whole sets. ``b`` may be hot."""
+def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link, by their whole sets. ``b`` may be hot."""
     first = pairs.select("a", "b").join(known.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
     both = first.join(known.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
-        for batch in _small(batches):
-            found = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([x for x, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.float64())], names=["a", "b", "linked", "distance"])
+        for batch in batches:
+            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long, linked boolean, distance double")
-
-
-def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    return compared(pairs, known).where("linked").select("a", "b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def short_pairs(docs: DataFrame, short: DataFrame, block: int = 2_000_000) -> list[DataFrame]:
@@ -568,15 +561,18 @@ def join(docs: DataFrame) -> DataFrame:
     for extra in short_pairs(docs, known.join(lone, "key", "left_semi")):
         extra = materialize(_of_like_size(extra, classes), "pairs")
         links = links.unionByName(materialize(verified(extra, known_of(docs, extra, classes)), "verified"))
-    placed, near = named.withColumn("root", F.col("key")), None
+    placed, near = named.withColumn("root", F.col("key")), spark.createDataFrame([], "a long, b long")
     for _ in range(ROUNDS):
-        star = materialize(_of_like_size(hub_pairs(placed), classes), "pairs")
-        told = materialize(compared(star, known), "verified")
-        links, done = links.unionByName(told.where("linked").select("a", "b")), done.unionByName(star)
-        near = hub_distances(told) if near is None else near
+        star = materialize(hub_pairs(placed), "pairs")
+        near = near.unionByName(star)
+        star = materialize(_of_like_size(star, classes), "pairs")
+        links, done = links.unionByName(materialize(verified(star, known), "verified")), done.unionByName(star)
         placed = materialize(with_roots(named, components(links)), "members")
         _free_shuffles(spark)
-    rest = materialize(_residual(placed, classes, near, done), "pairs")
+    around = near.select(F.col("a").alias("key"), F.col("b").alias("hub")).union(near.select("b", "b")).distinct()
+    around = materialize(with_roots(around, components(links)), "around")
+    links = links.unionByName(materialize(within_clusters(around, known), "verified"))
+    rest = materialize(_residual(placed, classes, around, done), "pairs")
     links = links.unionByName(materialize(verified(rest, known), "verified"))
     rep = classes.select("key", "rep")
     between = links.join(rep.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b")
@@ -606,7 +602,7 @@ def with_roots(named: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def hub_pairs(placed: DataFrame) -> DataFrame:
-    """(a, b): each set and the hubs of other components with which it shares most.
+    """(a, b): each set and the hubs of other components with which it shares most, and those with most sets.
 
     A group's hub is its most central set at home: that whose groups are the most
     crowded, as those of an original among its edited copies.
@@ -617,8 +613,10 @@ def hub_pairs(placed: DataFrame) -> DataFrame:
     ranked = own.join(central, "key").groupBy("g", "root").agg(F.max(F.struct("c", "key")).alias("h"))
     hubs = ranked.groupBy("g").agg(F.max(F.struct("h", F.col("root").alias("to"))).alias("x")).select("g", F.col("x.h.key").alias("hub"), "x.to")
     pairs = placed.join(hubs, "g").where("root <> to").groupBy("key", "hub").agg(F.sum("shared").alias("n"))
-    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "hub"))
-    return pairs.withColumn("_r", best).where(F.col("_r") <= HUBS).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    pairs = pairs.join(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("wide")), "hub")
+    rank = lambda c: F.row_number().over(Window.partitionBy("key").orderBy(F.desc(c), "hub"))
+    pairs = pairs.withColumn("_n", rank("n")).withColumn("_w", rank("wide")).where((F.col("_n") <= HUBS) | (F.col("_w") <= HUBS))
+    return pairs.select(F.col("key").alias("a"), F.col("hub").alias("b"))
 
 
 def known_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -634,24 +632,61 @@ def _of_like_size(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.where((F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)).select("a", "b")
 
 
-def hub_distances(told: DataFrame) -> DataFrame:
-    """(key, hub, distance): the nearest hub of each set; a hub's own is itself."""
-    to_self = told.select(F.col("b").alias("key"), F.col("b").alias("hub"), F.lit(0.0).alias("distance"))
-    both = told.select(F.col("a").alias("key"), F.col("b").alias("hub"), "distance").unionByName(to_self)
-    return both.groupBy("key").agg(F.min(F.struct("distance", "hub")).alias("x")).select("key", "x.hub", "x.distance")
-
-
-def _residual(placed: DataFrame, classes: DataFrame, near: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of different components in a group, not compared yet.
+def within_clusters(around: DataFrame, known: DataFrame, block: int = CLUSTER_BLOCK) -> DataFrame:
+    """Links (a, b) between sets around one hub that are in different components.
 
-    Jaccard distance is a metric: sets whose distances to one hub differ by more than a
-    link spans do not link.
+    Each set outside the hub's component meets each set around the hub, in cells of at most
+    about ``block`` sets a side. A cell counts common tokens by a matrix product and gives
+    one link for each outside set and component, so nothing is expanded into pairs.
     """
+    home = around.where("key = hub").select("hub", F.col("root").alias("home"))
+    rows = around.join(home, "hub").withColumn("outside", F.col("root") != F.col("home"))
+    counts = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("m")).where("m > 0")
+    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
+    rows = rows.join(counts.select("hub", parts("n").alias("all_parts"), parts("m").alias("out_parts")), "hub")
+    own = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    every = rows.select("hub", "key", "root", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("out_parts") - 1)).alias("row"), own("all_parts").alias("col"))
+    probes = rows.where("outside").select("hub", "key", "root", F.lit(True).alias("probe"), own("out_parts").alias("row"), F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("col"))
+    cells = every.unionByName(probes).join(known, "key")
+    return cells.groupBy("hub", "row", "col").applyInArrow(_cell_links, "a long, b long").distinct()
+
+
+def _cell_links(table: pa.Table) -> pa.Table:
+    key, root = table.column("key").to_numpy(), table.column("root").to_numpy()
+    probe = table.column("probe").to_numpy(zero_copy_only=False)
+    tokens = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+    size = np.asarray([len(x) for x in tokens])
+    which = np.repeat(np.arange(len(tokens)), size)
+    _, ids, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    common = n[ids] > 1  # a token of one set alone is in no intersection
+    columns = np.cumsum(n > 1) - 1
+    ids, which = columns[ids[common]], which[common]
+    place = np.where(probe, np.cumsum(probe) - 1, np.cumsum(~probe) - 1)
+    left, right = np.flatnonzero(probe), np.flatnonzero(~probe)
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(ids, kind="stable")
+    ids, which = ids[order], which[order]
+    for first in range(0, int(ids[-1]) + 1 if len(ids) else 0, 4096):
+        a, b = np.searchsorted(ids, [first, first + 4096])
+        i, w = ids[a:b] - first, which[a:b]
+        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+        x[place[w[probe[w]]], i[probe[w]]] = 1
+        y[place[w[~probe[w]]], i[~probe[w]]] = 1
+        both += x @ y.T
+    union = size[left][:, None] + size[right][None, :] - both
+    i, j = np.nonzero((both * DEN >= union * NUM) & (both > 0) & (root[left][:, None] != root[right][None, :]))
+    _, one = np.unique(np.stack([i, root[right[j]]], 1), axis=0, return_index=True)
+    return pa.table({"a": pa.array(key[left[i[one]]], pa.int64()), "b": pa.array(key[right[j[one]]], pa.int64())})
+
+
+def _residual(placed: DataFrame, classes: DataFrame, around: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs of different components in a group that share no hub, not compared yet."""
     split = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    named = placed.join(split, "g", "left_semi").join(classes.select("key", "n"), "key").join(near, "key", "left")
+    hubs = around.groupBy("key").agg(F.collect_set("hub").alias("hubs"))
+    named = placed.join(split, "g", "left_semi").join(classes.select("key", "n"), "key").join(hubs, "key", "left")
     like = F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM
     roles = F.col("x.role").bitwiseAND(F.col("y.role")) == 0  # not both guests, not both only indexed
-    far = (F.col("x.hub") == F.col("y.hub")) & (F.abs(F.col("x.distance") - F.col("y.distance")) > 1 - NUM / DEN + 1e-9)
-    pairs = named.alias("x").join(named.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.key") > F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & like & roles & ~F.coalesce(far, F.lit(False)))
+    apart = ~F.coalesce(F.arrays_overlap("x.hubs", "y.hubs"), F.lit(False))
+    pairs = named.alias("x").join(named.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.key") > F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & like & roles & apart)
     pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     return pairs.join(done.union(done.select("b", "a")), ["a", "b"], "left_anti")

@@ -2,49 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.storage import materialize, shared_dir, table
+
+__all__ = ["BLANKS", "BLANK_RUN", "bounded_ids", "bucket_of", "clean_text", "fold", "materialize", "shared_dir", "table", "with_offsets", "word_count", "words"]
+
 #: Characters that separate words: space and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[ \t-\r]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, through Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a temporary folder of this machine takes its place.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="gneiss-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs no recomputation of what lies
-    before, and later passes read the columns that they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts`` (a null key counts as empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(parts))

@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 from gneiss.storage import materialize, shared_dir, table
 
-__all__ = ["BLANKS", "BLANK_RUN", "bounded_ids", "bucket_of", "clean_text", "fold", "materialize", "shared_dir", "table", "with_offsets", "word_count", "words"]
+__all__ = ["BLANKS", "BLANK_RUN", "bounded_ids", "bucket_of", "clean_text", "fold", "materialize", "shared_dir", "spread", "table", "with_offsets", "word_count", "words"]
 
 #: Characters that separate words: space and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[ \t-\r]+"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than the cluster has cores, dealt over all of them.
+
+    A small file of one row group is one task, whatever its work; tables of many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts`` (a null key counts as empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(parts))

@@ -194,6 +194,38 @@ def test_mixing_meets_targets(spark, odd):
     assert mixing.mix(empty(spark)[0]).count() == 0
 
 
+def test_mixing_meets_targets_of_small_sources(spark):
+    # sources far smaller than total / SLOTS, at sizes that no table here has
+    sizes = [200, 4_999_000_000, 1000, 3000, 10_000, 30_000, 100_000]
+    target = mixing.targets(sizes)
+    assert [round(x) for x in target[2:]] == [3000, 9000, 30_000, 90_000, 300_000]
+    table = mixing.schedule(target)
+    assert (table["end"] - table["begin"]).groupby(table["sidx"]).sum().to_dict() == {i: round(x) for i, x in enumerate(target)}
+    for _, x in table.groupby("sidx"):
+        assert x["rank"].tolist() == list(range(len(x))) and x["begin"].tolist() == [0, *x["end"].tolist()[:-1]]
+    rows = [(i, s, n) for i, (s, n) in enumerate([("a", 70), ("a", 130), ("b", 1_500_000_000), ("b", 3_499_000_000), ("c", 400), ("c", 600), ("z", 0), (None, 7)])]
+    by = defaultdict(list)
+    for r in mixing.taken_of(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect():
+        by[r.source].append(r)
+    for v in by.values():
+        assert abs(sum(r.taken for r in v) - v[0].target) <= 0.5 and all(0 <= r.taken <= 3 * r["size"] for r in v)
+    assert sum(r.taken for r in by["a"]) == 600
+
+
+def test_mixing_takes_what_its_slots_cover(spark):
+    docs = documents(spark, [(i, "w " * (i % 11), "en", f"s{i % 3}") for i in range(200)])
+    rows = mixing.sized(docs)
+    sources = mixing.plan(rows)
+    target = [r.target for r in sources.orderBy("sidx").collect()]
+    covered = defaultdict(Counter)
+    for r in mixing.schedule(target, 50).itertuples():
+        covered[r.sidx].update(range(r.begin, r.end))
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    for r in mixing.streams(rows, sources).collect():
+        words = Counter(w % r.source_size for w in covered[r.sidx].elements())
+        assert taken[r.doc_id] == sum(words[w] for w in range(r.start, r.start + r["size"]))
+
+
 def test_mixed_documents_repeat(spark):
     docs = documents(spark, [(1, "a b c d", "en", "a"), (2, "a b c d " * 20, "en", "b"), (3, "", "en", "b")])
     times = Counter(r.doc_id for r in mixing.mixed_documents(docs, ["doc_id", "text"]).collect())

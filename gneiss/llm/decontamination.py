@@ -4,10 +4,11 @@ A seed is a fixed mask over neighbouring tokens: positions with 1 are hashed, th
 with 0 are ignored, so a seed still hits where a token under a 0 was replaced. All
 windows of the benchmark are hashed under each mask, all windows of the documents are
 joined to them by hash, and around each hit both texts are laid on one another.
-Along that diagonal the best run (a match gains 1, a substitution costs 2) is
-the overlap. A document is contaminated by an item if the overlap has at least
-``MIN_OVERLAP`` tokens, or the whole item if that is shorter, of which at least
-``MIN_IDENTITY`` are equal.
+A document is contaminated by an item if on that diagonal it has a stretch of at least
+``MIN_OVERLAP`` tokens from an equal one to an equal one, or the whole item (of any length,
+substitutions at its ends count like others), of which at least ``MIN_IDENTITY`` are equal.
+The overlap is the best run (a match gains 1, a substitution costs 2) if it is such a stretch,
+or else the whole item, or else the stretch with most matches, the first on ties.
 
 The benchmark is taken in blocks of bounded size; each block is broadcast and meets
 all documents whole, so there is no shuffle and no limit on either side.
@@ -100,14 +101,41 @@ def best_run(h: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int
     """(overlap, matches, start in the text, start in the item) where text position - item position = shift."""
     low, high = max(0, -shift), min(len(item), len(h) - shift)
     same = h[low + shift : high + shift] == item[low:high]
+    if len(item) < SHORTEST or same.sum() < MIN_IDENTITY * min(MIN_OVERLAP, len(item)):
+        return None
     gain = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
     least = np.minimum.accumulate(gain)
     stop = int(np.argmax(gain - least))
     start = int(np.flatnonzero(gain[: stop + 1] == least[stop])[-1]) if stop else 0
-    overlap, matches = stop - start, int(same[start:stop].sum())
-    if len(item) < SHORTEST or overlap < min(MIN_OVERLAP, len(item)) or matches < MIN_IDENTITY * overlap:
+    if stop - start < min(MIN_OVERLAP, len(item)) or same[start:stop].sum() < MIN_IDENTITY * (stop - start):
+        whole = len(same) == len(item) and same.sum() >= MIN_IDENTITY * len(item)
+        found = (0, len(item)) if whole else longest_stretch(same)
+        if not found:
+            return None
+        start, stop = found
+    return stop - start, int(same[start:stop].sum()), low + start + shift, low + start
+
+
+def longest_stretch(same: np.ndarray) -> tuple[int, int] | None:
+    """(start, stop) with most matches of the stretches of ``MIN_OVERLAP`` or more between matches that reach ``MIN_IDENTITY``.
+
+    Over a qualifying stretch the surplus of matches does not fall. For each end, the
+    first start with a surplus as low is found by halving in the running minimum.
+    """
+    matches = np.concatenate([[0], np.cumsum(same)])
+    surplus = 100 * matches - round(100 * MIN_IDENTITY) * np.arange(len(matches))
+    stops = np.flatnonzero(same) + 1
+    stops = stops[stops >= MIN_OVERLAP]
+    if not len(stops):
+        return None
+    least = np.minimum.accumulate(np.where(same, surplus[:-1], np.iinfo(np.int64).max))
+    starts = np.searchsorted(-least, -surplus[stops], "left")
+    fits = stops - starts >= MIN_OVERLAP
+    if not fits.any():
         return None
-    return overlap, matches, low + start + shift, low + start
+    stops, starts = stops[fits], starts[fits]
+    k = int(np.argmax(matches[stops] - matches[starts]))
+    return int(starts[k]), int(stops[k])
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_TOKENS) -> Iterator[Block]:

@@ -351,6 +351,38 @@ def test_decontamination_tolerates_substitutions(spark, odd):
     assert decontamination.find(empty(spark)[0], items).count() == 0
 
 
+def test_decontamination_finds_stretches_in_edited_copies(spark):
+    rng = random.Random(10)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    short = [f"v{rng.randrange(10**6)}" for _ in range(9)]
+    noise = [f"n{i}" for i in range(40)]
+    fourth = item[:30] + [w if i % 4 else "other" for i, w in enumerate(item[30:])]
+    late = [w if i % 3 else "other" for i, w in enumerate(item[:150])] + item[150:163] + [w if i % 3 else "other" for i, w in enumerate(item[163:])]
+    third = [w if i % 3 else "other" for i, w in enumerate(item)]
+    rows = [fourth, late, third, [*noise, "other", *short[1:], *noise], [*noise, *short[:8], "other"], [*noise, *short[:8]], [*noise, *item[50:61], *noise]]
+    docs = documents(spark, [(i, " ".join(w), "en", "a") for i, w in enumerate(rows)])
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], ITEMS)
+    found = {r.doc_id: r for r in decontamination.find(docs, items).collect()}
+    assert set(found) == {0, 1, 3, 4}
+    assert all(r.matches >= 0.8 * r.overlap and r.overlap >= (13 if r.item_id == 1 else 9) for r in found.values())
+    assert found[0].item_start == 0 and found[1].item_start <= 150 and found[1].item_start + found[1].overlap >= 163
+    assert (found[3].overlap, found[3].matches, found[3].doc_start) == (9, 8, 40)
+    assert sorted(r.doc_id for r in decontamination.clean(docs, items).collect()) == [2, 5, 6]
+
+
+def test_longest_stretch_matches_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    for n in (1, 12, 13, 14, 20, 45, 70):
+        for share in (0.5, 0.7, 0.8, 0.9):
+            for _ in range(20):
+                same = rng.random(n) < share
+                fits = [(-int(same[i:j].sum()), j, i) for i in range(n) for j in range(i + 13, n + 1) if same[i] and same[j - 1] and 10 * same[i:j].sum() >= 8 * (j - i)]
+                got = decontamination.longest_stretch(same)
+                assert got == ((min(fits)[2], min(fits)[1]) if fits else None)
+
+
 # --- WARC ------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string"

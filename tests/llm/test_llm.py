@@ -226,6 +226,17 @@ def test_mixing_takes_what_its_slots_cover(spark):
         assert taken[r.doc_id] == sum(words[w] for w in range(r.start, r.start + r["size"]))
 
 
+def test_mixed_documents_keep_rows_without_doc_id(spark):
+    rows = [(None, "a b c d", "en", "a"), (None, "", "en", "b"), (2, "a b c d " * 20, "en", "b"), (9, "p q r", "en", "c"), (9, "x y " * 200, "en", "d")]
+    docs = documents(spark, rows)
+    want = Counter()
+    for r in mixing.taken_of(mixing.sized(docs.withColumn("source", F.col("source")))).collect():
+        want[(r.doc_id, r.source)] += round(r.taken / r["size"]) if r["size"] else 0
+    want[(None, "b")] += 1  # the row without words stays once
+    got = Counter((r.doc_id, r.source) for r in mixing.mixed_documents(docs, ["doc_id", "text", "source"]).collect())
+    assert got == +want and got[(None, "a")] == 3 and want[(9, "c")] != want[(9, "d")]
+
+
 def test_mixed_documents_repeat(spark):
     docs = documents(spark, [(1, "a b c d", "en", "a"), (2, "a b c d " * 20, "en", "b"), (3, "", "en", "b")])
     times = Counter(r.doc_id for r in mixing.mixed_documents(docs, ["doc_id", "text"]).collect())

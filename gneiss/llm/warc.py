@@ -36,8 +36,6 @@ REVISIT_BYTES = 100
 ROLL_BYTES = 32 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
-#: Records beyond this many bytes of output are taken for damage.
-MOST_BYTES = 1 << 30
 
 RECORDS = "file string, at long, record_type string, page_id long, uri string, refers_to long, digest string, payload_bytes long, payload binary"
 GAPS = "file string, start long, stop long, reason string"
@@ -77,7 +75,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     if not found:
         raise ValueError("no version line")
     end = data.find(b"\r\n\r\n", at)
-    if end < 0 or end - at > 1 << 16:
+    if end < 0:
         raise ValueError("header without end")
     head = {}
     for line in data[found.end() : end].split(b"\r\n"):
@@ -157,15 +155,12 @@ def _next_start(data: bytes, at: int) -> int:
 
 def _member_records(data: bytes, at: int) -> tuple[list[dict], int]:
     inflate = zlib.decompressobj(31)
-    view, parts, pos, got = memoryview(data), [], at, 0
+    view, parts, pos = memoryview(data), [], at
     while not inflate.eof:
         if pos >= len(data):
             raise ValueError("member is cut off")
         parts.append(inflate.decompress(view[pos : pos + (1 << 16)]))
         pos += 1 << 16
-        got += len(parts[-1])
-        if got > MOST_BYTES:
-            raise ValueError("member is too long")
     stop = min(pos, len(data)) - len(inflate.unused_data)
     body, out, i, broken = b"".join(parts), [], 0, ""
     while i < len(body):

@@ -418,6 +418,20 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.archive_pages(spark.createDataFrame([], PAGES))).count() == 0
 
 
+def test_warc_takes_long_urls(spark):
+    rows = [(1, "data:text/html," + "x" * 1_000_000, "a page with a very long url"), (2, "http://x.example/" + "é" * 70_000, "another " * 50), (3, "http://x.example/3", "another " * 50)]
+    files = warc.archive_pages(spark.createDataFrame(rows, PAGES))
+    assert {r.page_id: (r.uri, r.record_type) for r in warc.read_archives(files).collect()} == {i: (u, "revisit" if i == 3 else "response") for i, u, _ in rows}
+    assert warc.read_gaps(files).count() == 0
+
+
+def test_warc_takes_long_payloads(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BYTES", 1000, raising=False)
+    payload = bytes(random.Random(12).randbytes(200_000))
+    data = warc.member(warc.record_bytes(1, "http://x/1", payload, hashlib.sha256(payload).hexdigest(), "response", None))
+    assert [(k, x["page_id"], x["payload"]) for k, x in warc.salvage(data)] == [("record", 1, payload)]
+
+
 def records(n):
     return [warc.record_bytes(i, f"http://x/{i}", (f"page {i} " * 20).encode(), hashlib.sha256((f"page {i} " * 20).encode()).hexdigest(), "response", None) for i in range(n)]
 

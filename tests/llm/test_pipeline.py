@@ -28,3 +28,15 @@ def test_stages_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_near_copies_of_a_repeated_doc_id(spark):
+    words = [f"w{i}" for i in range(300)]
+    base, copy, other = " ".join(words[:100]), " ".join([*words[:99], "changed"]), " ".join(words[150:250])
+    rows = [(3, base, "b"), (7, copy, "a"), (7, other, "a"), (9, "p q r s t", "a"), (9, "p q r s t", "b"), (None, base, "a"), (None, base, "a"), (-5, other + " more", "a"), (8, "", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for table in (docs, docs.where("doc_id <> -5 OR doc_id IS NULL")):
+        for n in (1, 5):
+            out = sorted((r.doc_id or 0, r.text, r.source) for r in corpus_pipeline.without_near_copies(spark, table.repartition(n), SF).collect())
+            far = (-5, other + " more", "a") if table is docs else (7, other, "a")
+            assert out == sorted([(0, base, "a"), (0, base, "a"), (3, base, "b"), far, (8, "", "a"), (9, "p q r s t", "a")])

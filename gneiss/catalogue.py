@@ -182,7 +182,7 @@ def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM pages WHERE NOT contains(url, '/../')""")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
-    return table(spark, sf_dir, "pages").where(~F.contains(url, F.lit("/../"))).select("page_id", tx.url_host(url).alias("host"), tx.fold_dots(tx.url_path(url)).alias("path"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.url_host(url).alias("host"), tx.fold_dots(tx.url_path(url)).alias("path"))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages)

@@ -2,6 +2,7 @@
 
 import os
 
+from gneiss import catalogue
 from gneiss.operators import documents
 from gneiss.plans import review, scan
 
@@ -43,3 +44,19 @@ def test_review(spark, tmp_path):
     old = spark.createDataFrame([("d", "t", [known], None, "verified"), ("p", "t", [known], "earlier", "draft")], "id string, text string, evidence_ids array<string>, provider string, status string")
     kept = review.accept_claims(old, claims.where("id = '1'"), "someone").collect()
     assert {r.provider for r in kept} == {None, "someone"} and all(r.status == "draft" for r in kept if r.provider)
+
+
+def test_url_normalize_folds_parent_parts(spark, tmp_path):
+    paths = ["/a/b", "/a/../b", "/a/./b//c/../../d", "/../a", "/a/../../b", "/a/b/..", "/a/../", ""]
+    spark.createDataFrame([(i, f"http://x.example{p}?q=/../#f") for i, p in enumerate(paths)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+
+    def fold(path):
+        out = []
+        for x in path.split("/"):
+            if x == ".." and not out:
+                return None
+            out = out[:-1] if x == ".." else out + [x] * (x not in ("", "."))
+        return "/".join(out)
+
+    got = {r.page_id: (r.host, r.path) for r in catalogue.queries()["url_normalize"](spark, str(tmp_path)).collect()}
+    assert got == {i: ("x.example", fold(p)) for i, p in enumerate(paths)}

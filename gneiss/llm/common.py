@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.storage import materialize, shared_dir, table
+from gneiss.storage import discard, materialize, shared_dir, table
 
-__all__ = ["BLANKS", "BLANK_RUN", "bounded_ids", "bucket_of", "clean_text", "fold", "materialize", "shared_dir", "spread", "table", "with_offsets", "word_count", "words"]
+__all__ = ["BLANKS", "BLANK_RUN", "bounded_ids", "bucket_of", "clean_text", "discard", "fold", "materialize", "salted_join", "shared_dir", "spread", "table", "with_offsets", "word_count", "words"]
 
 #: Characters that separate words: space and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,6 +23,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def salted_join(rows: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join rows with a table of one row a key; a hot key is dealt over ``salts`` tasks by a hash of column ``by``.
+
+    ``small`` is repeated ``salts`` times, so it has slim rows and fewer than ``rows``.
+    """
+    few = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(few, [key, "_salt"], how).drop("_salt")
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts`` (a null key counts as empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(parts))

@@ -26,12 +26,19 @@ Sets that share a signature are candidates. Those that share fewer signatures
 with all others than a partner must share are left out, and of the others' groups only the
 least crowded are needed (the prefix principle). Each set is first compared exactly with
 hubs of its groups. Sets around one hub that are then in different components are compared in
-cells, by matrix products that count common tokens; pairs in a group that share no hub
-are compared one by one. So no group of near copies is ever expanded into all its pairs,
+cells, by matrix products that count common tokens; pairs in a small group that share no hub
+are compared one by one. So no large group of near copies is ever expanded into all its pairs,
 and no link between different components is lost. A set for which even all its tokens fill
 too few segments (the allocation makes that very rare) is compared by single tokens with all
 rows, in blocks.
 
+No task holds all of a group without bound. Signatures whose tokens are all in more than
+``HOT`` texts do not meet in a reducer: their entries are dealt by class, and the
+signature names the group. Joins on groups and hubs spread large ones over several tasks by a salt
+of the class. All sets of a group of more than ``CROWD`` classes that is still split
+between components count as around that group's hub, so pairs are only listed in groups
+of at most ``CROWD`` classes.
+
 Identical sets are one class from the start: signatures name the class, and a task lists a
 class once. Links join classes; components are found by alternating large-star
 and small-star steps.
@@ -46,17 +53,18 @@ Extra columns are ignored. Hashes have 64 bits; classes are told apart by theirs
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialize
+from gneiss.llm.common import discard, materialize, salted_join
 
 SHINGLE = 5
 #: Similarity as a ratio of integers.
@@ -80,12 +88,21 @@ SKETCH_BITS = 22
 #: Hubs with which a set is compared in a round, and rounds.
 HUBS = 4
 ROUNDS = 2
-#: Distance to a hub up to which a set counts to its cluster, and sets a side of a cell.
-AROUND = 1.0
+#: Sets and tokens a side of a cell.
 CLUSTER_BLOCK = 1_000
-#: Words and classes that a task remembers, and rows that it holds at a time.
+CLUSTER_TOKENS = 2_000_000
+#: Texts from which on the entries of a signature are dealt by class, and the crowd that such a group counts as.
+HOT = 1 << 20
+HOT_CROWD = 1 << 20
+#: Classes of a group a task, where a join spreads it; and those from which on a split group's hub stands for it.
+SALT_ROWS = 2_000
+CROWD = 64
+#: Classes that a task remembers, and rows and bytes of text that it holds at a time.
 MEMORY = 300_000
 ROWS = 1_000
+BYTES = 8 << 20
+#: Bytes of a word up to which it is hashed together with all others.
+LONG = 256
 #: Parts in which sketches are summed.
 PARTS = 64
 
@@ -94,6 +111,7 @@ MIX = np.uint64(0xFF51AFD7ED558CCD)
 MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 #: The two low bits of ``sig`` are the role: 1 for guests, 2 for those that only are indexed. ``least``: signatures shared with a partner.
 ENTRY = np.dtype([("sig", "<u4"), ("least", "<u2"), ("key", "<i8")])
+HOT_ENTRY = np.dtype([("g", "<i8"), ("role", "<i4"), ("least", "<i4"), ("key", "<i8")])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -105,31 +123,73 @@ def mixed(h: np.ndarray) -> np.ndarray:
 # --- sets ------------------------------------------------------------------
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
+WORD = np.ones(256, bool)
+WORD[[9, 10, 11, 12, 13, 32]] = False
+KEEP = np.asarray([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text in UTF-8; A-Z count as a-z."""
-    found = (text or b"").lower().split()
-    n = len(found)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, n)
-    k = min(n, SHINGLE)
-    out = np.full(n - k + 1, k, np.uint64)
-    for j in range(k):
-        out += h[j : n - k + 1 + j] * ODD[j]
-    return np.unique(mixed(out))
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some bytes, A-Z as a-z, and where the words begin, counted from 1.
 
-def set_key(tokens: np.ndarray) -> int:
-    """A 64-bit key of a set."""
-    return int(mixed(np.asarray([np.add.reduce(mixed(tokens ^ ODD[0])) + np.uint64(len(tokens))], np.uint64))[0].astype(np.int64))
+    All words at once, eight bytes of each in a round.
+    """
+    data = b"\n" + data.lower() + b"\n" * (17 - len(data) % 8)
+    inside = WORD[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, length = edges[::2], edges[1::2] - edges[::2]
+    cells = np.frombuffer(data, "<u8", len(data) // 8)
+    out = length.astype(np.uint64) * ODD[3]
+    which, at, left = np.arange(len(start)), start, length
+    while len(which):
+        cell, low = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        part = (cells[cell] >> low) | (cells[cell + 1] << (np.uint64(64) - low))
+        h = (out[which] ^ (part & KEEP[np.minimum(left, 8)])) * ODD[1]
+        out[which] = h ^ (h >> np.uint64(32))
+        more = (left > 8) & (length[which] <= LONG)
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(length > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : start[k] + length[k]], digest_size=8).digest(), "little")
+    return out, start
+
+
+def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of texts in UTF-8, laid end to end, and where each text's begin and end."""
+    texts = [t or b"" for t in texts]
+    h, start = word_hashes(b"\n".join(texts))
+    words = np.diff(np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]) + 1), prepend=0)
+    first = np.cumsum(words) - words
+    n = np.where(words >= SHINGLE, words - SHINGLE + 1, words > 0)
+    at = np.concatenate([[0], np.cumsum(n)])
+    place = np.repeat(first - at[:-1], n) + np.arange(at[-1])
+    padded = np.concatenate([h, np.zeros(SHINGLE, np.uint64)])
+    total = np.full(len(h), SHINGLE, np.uint64)
+    for j in range(SHINGLE):
+        total += padded[j : j + len(h)] * ODD[j]
+    out = total[place]
+    for d in np.flatnonzero((words > 0) & (words < SHINGLE)).tolist():
+        own = h[first[d] : first[d] + words[d]]
+        out[at[d]] = np.uint64(len(own)) + np.add.reduce(own * np.asarray(ODD[: len(own)]))
+    out = mixed(out)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        out[a:b].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[at[:-1][n > 0]] = True
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+
+
+def set_keys(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set; of an empty set, 0."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(flat ^ ODD[0]))])
+    size = np.diff(at)
+    return np.where(size > 0, mixed(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)).astype(np.int64), 0)
+
+
+def part_of(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the sets, laid end to end."""
+    size = np.diff(at)[which]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(at[:-1][which] - begin[:-1], size) + np.arange(begin[-1])], begin
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -218,24 +278,33 @@ def segments_of(tokens: np.ndarray, m: int) -> np.ndarray:
     return (((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
 
 
-def signatures(tokens: np.ndarray, band: int, salt: int) -> tuple[np.ndarray, int]:
-    """Signatures of a set in a band, and the differences that its segments can catch, plus one."""
-    if not len(tokens):
-        return np.zeros(0, np.uint64), 0
+def signatures(flat: np.ndarray, at: np.ndarray, band: int, salt: int, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets in a band, with the set's number and the least level of its tokens;
+    and the differences that each set's segments can catch, plus one.
+    """
+    n, size = len(at) - 1, np.diff(at)
+    if not len(flat):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(n, np.int64)
     m, deletions = allocation(band)
-    segment = segments_of(tokens, m)
-    starts = np.flatnonzero(np.diff(segment, prepend=-1))
-    count = np.diff(starts, append=len(tokens))
-    value = mixed(tokens + ODD[1])
+    segment, owner = segments_of(flat, m), np.repeat(np.arange(n), size)
+    new = np.ones(len(flat), bool)
+    new[1:] = (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1])
+    starts = np.flatnonzero(new)
+    count = np.append(starts[1:], len(flat)) - starts
+    value = mixed(flat + ODD[1])
     total = np.add.reduceat(value, starts)
     place = mixed(segment[starts].astype(np.uint64) + np.uint64((band << 32) + (salt << 48)))
-    out = mixed(total * ODD[2] + place)
+    out, of = mixed(total * ODD[2] + place), owner[starts]
+    low = np.zeros(len(starts), np.int64) if level is None else np.minimum.reduceat(level, starts).astype(np.int64)
+    capacity = np.bincount(of, minlength=n)
     if not deletions:
-        return out, len(starts)
+        return out, of, low, capacity
     which = np.repeat(np.arange(len(starts)), count)
     more = count[which] > 1
     which = which[more]
-    return np.concatenate([out, mixed((total[which] - value[more]) * ODD[2] + place[which])]), len(starts) + int((count > 1).sum())
+    out = np.concatenate([out, mixed((total[which] - value[more]) * ODD[2] + place[which])])
+    return out, np.concatenate([of, of[which]]), np.concatenate([low, low[which]]), capacity + np.bincount(of[count > 1], minlength=n)
 
 
 def guest_bands(size: int) -> list[int]:
@@ -250,39 +319,65 @@ def guest_bands(size: int) -> list[int]:
 GUEST, INDEXED = 1, 2
 
 
-def entries_of(tokens: np.ndarray, frequent: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, int, int]], bool]:
-    """(signatures, role, least shared with a partner) of a set in each band, and whether they fall short.
+def entries(flat: np.ndarray, at: np.ndarray, levels: np.ndarray | None = None) -> tuple[list[tuple], np.ndarray]:
+    """Per band (signatures, sets' numbers, roles, least shared with a partner, levels), and which sets fall short.
 
-    Without its frequent tokens if enough others fill its segments in each band; else
-    it is indexed by those others and listed by all its tokens.
+    A set goes without its frequent tokens if enough others fill its segments in each band; else
+    it is indexed by those others and listed by all its tokens. No set is empty.
     """
-    size = len(tokens)
-    where = [(band_of(size), 0), *[(b, GUEST) for b in guest_bands(size)]]
-    rest = tokens if frequent is None else tokens[~frequent[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]]
-
-    def listed_by(part: np.ndarray, salt: int) -> tuple[list, bool]:
-        out, short = [], False
-        for b, role in where:
-            found, capacity = signatures(part, b, salt)
-            short |= capacity < need(size)
+    size = np.diff(at)
+    sizes = np.unique(size)
+    home = np.asarray([band_of(int(x)) for x in sizes])[np.searchsorted(sizes, size)]
+    last = np.asarray([max([band_of(int(x)), *guest_bands(int(x))]) for x in sizes])[np.searchsorted(sizes, size)]
+    needs = np.asarray([need(int(x)) for x in sizes])[np.searchsorted(sizes, size)]
+    level = None if levels is None else levels[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    if level is None:
+        rest, rest_at, rest_level = flat, at, None
+    else:
+        rare = level == 0
+        rest, rest_at, rest_level = flat[rare], np.concatenate([[0], np.cumsum(rare)])[at], None
+
+    def listed_by(tokens, begin, level, sets, salt):
+        out, short = [], np.zeros(len(size), bool)
+        for band in range(int(home[sets].min(initial=1 << 30)), int(last[sets].max(initial=-1)) + 1):
+            own = sets[(home[sets] <= band) & (band <= last[sets])]
+            if not len(own):
+                continue
+            own_level = None if level is None else part_of(level, begin, own)[0]
+            found, of, low, capacity = signatures(*part_of(tokens, begin, own), band, salt, own_level)
+            short[own] |= capacity < needs[own]
             # a segment with deletions spans several signatures, so only one is certain
-            out.append((found, role, 1 if allocation(b)[1] else max(min(capacity - need(size) + 1, 65535), 1)))
+            least = np.ones(len(own), np.int64) if allocation(band)[1] else np.clip(capacity - needs[own] + 1, 1, 65535)
+            out.append((found, own[of], np.where(home[own] < band, GUEST, 0)[of], least[of], low))
         return out, short
 
-    out, thin = listed_by(rest, 0)
-    if not thin:
-        return out, False
-    full, short = listed_by(tokens, 1)
-    return [(found, role | INDEXED, 1) for found, role, _ in out if len(found)] + full, short
+    out, thin = listed_by(rest, rest_at, rest_level, np.arange(len(size)), 0)
+    if level is None:
+        return out, thin
+    few = np.flatnonzero(thin)
+    full, short = listed_by(flat, at, level, few, 1)
+    some = [(f, of, np.where(thin[of], role | INDEXED, role), np.where(thin[of], 1, least), low) for f, of, role, least, low in out]
+    return some + [(f, of, role, np.ones_like(least), low) for f, of, role, least, low in full], short
+
+
+def entries_of(tokens: np.ndarray, frequent: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, int, int]], bool]:
+    """(signatures, role, least shared with a partner) of one set in each band, and whether they fall short."""
+    found, short = entries(tokens, np.asarray([0, len(tokens)]), None if frequent is None else frequent.astype(np.uint8))
+    return [(f, int(role[0]), int(least[0])) for f, _, role, least, _ in found if len(f)], bool(short[0])
 
 
 # --- passes over the texts -------------------------------------------------
 
 
-def _small(batches, rows: int = ROWS):
+def _small(batches, rows: int = ROWS, most: int = BYTES):
+    """Batches of at most ``rows`` rows and about ``most`` bytes of text, one row at least."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        total, i = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
+        while i < batch.num_rows:
+            j = min(max(int(np.searchsorted(total, total[i] + most, "right")) - 1, i + 1), i + rows, batch.num_rows)
+            yield batch.slice(i, j - i)
+            i = j
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -296,14 +391,13 @@ def sets(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        hashes, names = WordHashes(), ["doc_id", "n_shingles", "key", "sketch"]
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        names, counts = ["doc_id", "n_shingles", "key", "sketch"], np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in _small(batches):
-            found = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
-            at, n = np.unique((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+            flat, begin = shingle_sets(batch.column("text").to_pylist())
+            at, n = np.unique((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
             counts[at] += n.astype(np.int32)
-            keys = [set_key(x) if len(x) else None for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(found), pa.binary())], names=names)
+            size = np.diff(begin)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(set_keys(flat, begin), pa.int64(), mask=size == 0), pa.nulls(len(size), pa.binary())], names=names)
         small = np.minimum(counts, 65535).astype("<u2").reshape(PARTS, -1)
         for part in range(PARTS):
             packed = zlib.compress(small[part].tobytes(), 1)
@@ -312,10 +406,11 @@ def sets(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key long, sketch binary")
 
 
-def frequent_buckets(rows: DataFrame, total: int) -> np.ndarray:
-    """Buckets of the sketch that many texts meet, as a table of bits; ``total`` tokens are in all sets.
+def frequent_buckets(rows: DataFrame, total: int, hot: int = HOT) -> np.ndarray:
+    """The level of each bucket of the sketch; ``total`` tokens are in all sets.
 
-    By the load they are at most a share of all buckets, whatever the number of texts.
+    0: rare. 1: many texts meet it. 2: over ``hot`` texts. By the load that it needs, at
+    most a share of all buckets is not rare, whatever the number of texts.
     """
     least = max(FREQUENT, LOADS * total >> SKETCH_BITS)
 
@@ -323,114 +418,111 @@ def frequent_buckets(rows: DataFrame, total: int) -> np.ndarray:
         part, counts = -1 - table.column("n_shingles")[0].as_py(), np.zeros((1 << SKETCH_BITS) // PARTS, np.int64)
         for x in table.column("sketch"):
             counts += np.frombuffer(zlib.decompress(x.as_py()), "<u2")
-        return pa.table({"bucket": pa.array(np.flatnonzero(counts > least) + part * len(counts), pa.int32())})
+        level = (counts > min(least, hot)).astype(np.uint8) + (counts > hot)
+        return pa.table({"part": pa.array([part], pa.int32()), "levels": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())})
 
-    found = rows.where("n_shingles < 0").select("n_shingles", "sketch").groupBy("n_shingles").applyInArrow(run, "bucket int")
-    out = np.zeros(1 << SKETCH_BITS, bool)
-    out[[r["bucket"] for r in found.collect()]] = True
-    return out
+    found = rows.where("n_shingles < 0").select("n_shingles", "sketch").groupBy("n_shingles").applyInArrow(run, "part int, levels binary")
+    out = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.uint8)
+    for r in found.collect():  # ``PARTS`` rows
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
+    return out.reshape(-1)
 
 
-def listed(docs: DataFrame, groups: int, frequent: np.ndarray | None) -> DataFrame:
+def listed(docs: DataFrame, groups: int, levels: np.ndarray | None) -> DataFrame:
     """Rows (group, entries): signatures with their class, packed, one row for each group and batch.
 
-    Group -1 has the classes for which the signatures fall short.
+    Group -1 has the classes for which the signatures fall short, groups below have the entries of hot signatures.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def packed(group: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[bytes]]:
+        order = np.argsort(group, kind="stable")
+        rows, group = rows[order], group[order]
+        cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
+        starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(group)]])
+        return group[starts].tolist(), [rows[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]
 
     def run(batches):
-        hashes, seen, common = WordHashes(), set(), shared.value
+        seen, levels = set(), shared.value
         for batch in _small(batches):
-            sigs, keys, roles, least, short = [], [], [], [], []
-            for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if doc_id is None:
-                    continue
-                tokens = shingle_set(t, hashes)
-                if not len(tokens):
-                    continue
-                key = set_key(tokens)
-                if key in seen:
+            flat, at = shingle_sets(batch.column("text").to_pylist())
+            keys, chosen = set_keys(flat, at), []
+            for k, (doc_id, key, n) in enumerate(zip(batch.column("doc_id").to_pylist(), keys.tolist(), np.diff(at).tolist(), strict=True)):
+                if doc_id is None or n == 0 or key in seen:
                     continue
                 if len(seen) > MEMORY:
                     seen.clear()
                 seen.add(key)
-                found, falls_short = entries_of(tokens, common)
-                if falls_short:
-                    short.append(key)
-                for x, role, n in found:
-                    sigs.append(x)
-                    keys.append(np.full(len(x), key, np.int64))
-                    roles.append(np.full(len(x), role, np.uint32))
-                    least.append(np.full(len(x), n, np.uint16))
-            if not sigs:
+                chosen.append(k)
+            if not chosen:
                 continue
-            sig = np.concatenate(sigs)
-            group = ((sig >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
-            order = np.argsort(group, kind="stable")
-            packed = np.empty(len(sig), ENTRY)
-            packed["sig"] = (sig.astype(np.uint32) & np.uint32(0xFFFFFFFC)) | np.concatenate(roles)
-            packed["least"] = np.concatenate(least)
-            packed["key"] = np.concatenate(keys)
-            packed, group = packed[order], group[order]
-            cuts = np.flatnonzero(np.diff(group)) + 1
-            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(group)]])
-            numbers, blobs = group[starts].tolist(), [packed[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]
-            if short:
-                lone = np.zeros(len(short), ENTRY)
-                lone["key"] = short
-                numbers, blobs = [*numbers, -1], [*blobs, lone.tobytes()]
+            keys = keys[chosen]
+            found, short = entries(*part_of(flat, at, np.asarray(chosen)), levels)
+            sig, of, role, least, level = (np.concatenate(x) for x in zip(*found, strict=True))
+            numbers, blobs = [], []
+            if short.any():
+                lone = np.zeros(int(short.sum()), ENTRY)
+                lone["key"] = keys[short]
+                numbers, blobs = [-1], [lone.tobytes()]
+            hot = level > 1
+            if hot.any():
+                rows = np.empty(int(hot.sum()), HOT_ENTRY)
+                rows["g"], rows["role"], rows["least"], rows["key"] = sig[hot].view(np.int64), role[hot], least[hot], keys[of[hot]]
+                more = packed(-2 - (mixed(rows["key"].view(np.uint64)) % np.uint64(groups)).astype(np.int32), rows)
+                numbers, blobs = numbers + more[0], blobs + more[1]
+                sig, of, role, least = sig[~hot], of[~hot], role[~hot], least[~hot]
+            if len(sig):
+                rows = np.empty(len(sig), ENTRY)
+                rows["sig"] = (sig.astype(np.uint32) & np.uint32(0xFFFFFFFC)) | role.astype(np.uint32)
+                rows["least"], rows["key"] = least, keys[of]
+                more = packed(((sig >> np.uint64(32)) % np.uint64(groups)).astype(np.int32), rows)
+                numbers, blobs = numbers + more[0], blobs + more[1]
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["group", "entries"])
 
     return _texts(docs).mapInArrow(run, "group int, entries binary")
 
 
+CROWDS = "g long, key long, role int, least int, shared int, k int"
+
+
 def crowds(packed: DataFrame) -> DataFrame:
-    """Different classes under one signature: their keys in order, roles, and what each must share with a partner.
+    """The members of groups: different classes under one signature, with role and what each must share with a partner.
 
-    Not all of them are guests and not all are only indexed. Equal groups within a
-    reducer's part are listed once, with the number of signatures. A class for which the
-    signatures fall short is listed alone.
+    Not all of them are guests and not all are only indexed. ``g`` names a group by its members, so equal groups
+    have one name; within a reducer's part they are listed once, with the number of signatures as
+    ``shared``. ``k`` is the number of members. A class for which the signatures fall short is listed alone, with k = 1.
+    Hot signatures are groups of their own, named by the signature; they may have one member.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        data = np.concatenate([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()])
-        lists, roles, least, shared = [], [], [], []
-        if table.column("group")[0].as_py() == -1:
-            lists = [[k] for k in np.unique(data["key"]).tolist()]
-            roles, least, shared = [[0]] * len(lists), [[1]] * len(lists), [1] * len(lists)
-        else:
-            data = data[np.argsort((data["sig"].astype(np.uint64) >> np.uint64(2) << np.uint64(34)) | (data["key"].view(np.uint64) >> np.uint64(30)), kind="stable")]
-            sig, key, role = data["sig"] >> np.uint32(2), data["key"], (data["sig"] & 3).astype(np.int8)
-            starts = np.flatnonzero(np.diff(sig, prepend=np.uint32(0xFFFFFFFF)))
-            size = np.diff(starts, append=len(sig))
-            # most groups hold two entries: all of them at once
-            i = starts[size == 2]
-            i = i[(key[i] != key[i + 1]) & (role[i] & role[i + 1] == 0)]
-            name = mixed(key[i].view(np.uint64) + ODD[0]) * ODD[1] + mixed(key[i + 1].view(np.uint64)) + (role[i] * 4 + role[i + 1]).astype(np.uint64)
-            _, at, n = np.unique(name, return_index=True, return_counts=True)
-            i = i[at]
-            lists += np.stack([key[i], key[i + 1]], 1).tolist()
-            roles += np.stack([role[i], role[i + 1]], 1).tolist()
-            least += np.stack([data["least"][i], data["least"][i + 1]], 1).tolist()
-            shared += n.tolist()
-            found: dict[bytes, int] = {}
-            for a, k in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                keys, first = np.unique(key[a : a + k], return_index=True)
-                own = role[a : a + k][first]
-                if len(keys) < 2 or np.bitwise_and.reduce(own):
-                    continue
-                name = keys.tobytes() + own.tobytes()
-                if name in found:
-                    shared[found[name]] += 1
-                else:
-                    found[name] = len(lists)
-                    lists.append(keys.tolist())
-                    roles.append(own.tolist())
-                    least.append(data["least"][a : a + k][first].tolist())
-                    shared.append(1)
-        return pa.table({"keys": pa.array(lists, pa.list_(pa.int64())), "roles": pa.array(roles, pa.list_(pa.int32())), "least": pa.array(least, pa.list_(pa.int32())), "shared": pa.array(shared, pa.int32())})
+    def rows(g, key, role, least, shared, k) -> pa.Table:
+        return pa.table([pa.array(g, pa.int64()), pa.array(key, pa.int64()), *(pa.array(x, pa.int32()) for x in (role, least, shared, k))], names=["g", "key", "role", "least", "shared", "k"])
 
-    return packed.groupBy("group").applyInArrow(run, "keys array<long>, roles array<int>, least array<int>, shared int")
+    def run(table: pa.Table) -> pa.Table:
+        group = table.column("group")[0].as_py()
+        data = np.concatenate([np.frombuffer(x, HOT_ENTRY if group < -1 else ENTRY) for x in table.column("entries").to_pylist()])
+        one = np.ones(len(data), np.int32)
+        if group < -1:
+            return rows(data["g"], data["key"], data["role"], data["least"], one, one * HOT_CROWD)
+        if group == -1:
+            key = np.unique(data["key"])
+            return rows(key, key, *([x] * len(key) for x in (0, 1, 1, 1)))
+        data = data[np.argsort((data["sig"].astype(np.uint64) >> np.uint64(2) << np.uint64(34)) | (data["key"].view(np.uint64) >> np.uint64(30)), kind="stable")]
+        sig, key, role = data["sig"] >> np.uint32(2), data["key"], (data["sig"] & 3).astype(np.uint64)
+        new = np.ones(len(data), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        sig, key, role, least = sig[new], key[new], role[new], data["least"][new]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.append(starts[1:], len(sig)) - starts
+        some = (size > 1) & (np.bitwise_and.reduceat(role, starts) == 0)
+        member = mixed(mixed(key.view(np.uint64) + ODD[0]) + role * ODD[1])
+        name = mixed(np.add.reduceat(member, starts) + size.astype(np.uint64))[some]
+        _, first, n = np.unique(name, return_index=True, return_counts=True)
+        starts, size = starts[some][first], size[some][first]
+        begin = np.cumsum(size) - size
+        at = np.repeat(starts - begin, size) + np.arange(size.sum())
+        return rows(np.repeat(name[first].view(np.int64), size), key[at], role[at].astype(np.int32), least[at], np.repeat(n, size), np.repeat(size, size))
+
+    return packed.groupBy("group").applyInArrow(run, CROWDS)
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -438,15 +530,11 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = _texts(docs).join(wanted, "doc_id").select("key", "text")
 
     def run(batches):
-        hashes = WordHashes()
         for batch in _small(batches):
-            keys, tokens = [], []
-            for key, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = shingle_set(t, hashes)
-                if len(found) and set_key(found) == key:
-                    keys.append(key)
-                    tokens.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], names=["key", "tokens"])
+            flat, at = shingle_sets(batch.column("text").to_pylist())
+            keys, same = batch.column("key").to_pylist(), set_keys(flat, at).tolist()
+            own = [k for k in range(len(keys)) if at[k] < at[k + 1] and keys[k] == same[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in own], pa.int64()), pa.array([flat[at[k] : at[k + 1]].tobytes() for k in own], pa.binary())], names=["key", "tokens"])
 
     # rows that repeat a doc_id and text would give a class twice
     return rows.mapInArrow(run, "key long, tokens binary").dropDuplicates(["key"])
@@ -476,20 +564,14 @@ def short_pairs(docs: DataFrame, short: DataFrame, block: int = 2_000_000) -> li
         shared = docs.sparkSession.sparkContext.broadcast((np.asarray(sorted(index), np.uint64), [index[t] for t in sorted(index)]))
 
         def run(batches):
-            hashes = WordHashes()
             at, who = shared.value
             for batch in _small(batches):
-                a, b = [], []
-                for t in batch.column("text").to_pylist():
-                    tokens = shingle_set(t, hashes)
-                    if not len(tokens):
-                        continue
-                    key = set_key(tokens)
-                    pos = np.minimum(np.searchsorted(at, tokens), len(at) - 1)
-                    for other in {k for p in pos[at[pos] == tokens] for k in who[p]} - {key}:
-                        a.append(key)
-                        b.append(other)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                flat, begin = shingle_sets(batch.column("text").to_pylist())
+                keys, owner = set_keys(flat, begin).tolist(), np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+                pos = np.minimum(np.searchsorted(at, flat), len(at) - 1)
+                hit = np.flatnonzero(at[pos] == flat)
+                pairs = {(keys[d], other) for d, p in zip(owner[hit].tolist(), pos[hit].tolist(), strict=True) for other in who[p] if other != keys[d]}
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
         out.append(_texts(docs.where(F.col("doc_id").isNotNull())).mapInArrow(run, "a long, b long").distinct())
 
@@ -515,6 +597,7 @@ def components(links: DataFrame) -> DataFrame:
     told = None
     while True:
         # large star: larger neighbours of u go to the smallest of u and its neighbours
+        before = edges
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -522,12 +605,35 @@ def components(links: DataFrame) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == told:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct())
+            out = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct()), "roots")
+            discard(edges)
+            return out
         told = now
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of ``roots`` and of links (a, b) between them or others, after these links.
+
+    Only components that the links touch take part in the rounds.
+    """
+    at = lambda c, to: links_at(c, to, roots)
+    between = materialize(at(at(links.select("a", "b"), "a"), "b").where("a <> b"), "links")
+    found = components(between)
+    moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    out = materialize(moved.unionByName(found.join(roots.select("node"), "node", "left_anti")), "roots")
+    discard(between, found, roots)
+    return out
+
+
+def links_at(links: DataFrame, end: str, roots: DataFrame) -> DataFrame:
+    """Links with one end moved to its root."""
+    to = roots.select(F.col("node").alias(end), F.col("root").alias("_to"))
+    return links.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).select("a", "b")
+
+
 # --- join ------------------------------------------------------------------
 
 
@@ -537,7 +643,7 @@ def _free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -548,77 +654,106 @@ def join(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(2 * parts, int(total * ENTRIES_PER_TOKEN / GROUP_ENTRIES) + 1)
-    crowd = materialize(crowds(listed(docs, groups, frequent_buckets(scanned, total))), "crowds")
+    found = materialize(crowds(listed(docs, groups, frequent_buckets(scanned, total, hot))), "crowds")
     _free_shuffles(spark)
-    named = materialize(members(crowd), "members")
-    lone = crowd.where(F.size("keys") == 1).select(F.get("keys", F.lit(0)).alias("key")).distinct()
+    named = materialize(members(found), "members")
+    lone = materialize(found.where("k = 1").select("key").distinct(), "lone")
+    discard(found)
     wanted = named.select("key").union(lone).distinct()
     known = materialize(class_sets(docs, classes.join(wanted, "key").select("key", F.col("rep").alias("doc_id"))), "tokens")
     _free_shuffles(spark)
 
     # the few sets that need another way, then each set against hubs of its groups, then what is left
-    links, done = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long")
+    nothing = spark.createDataFrame([], "a long, b long")
+    links, done, near = nothing, nothing, nothing
     for extra in short_pairs(docs, known.join(lone, "key", "left_semi")):
         extra = materialize(_of_like_size(extra, classes), "pairs")
         links = links.unionByName(materialize(verified(extra, known_of(docs, extra, classes)), "verified"))
-    placed, near = named.withColumn("root", F.col("key")), spark.createDataFrame([], "a long, b long")
+    roots = merged(spark.createDataFrame([], "node long, root long"), links)
     for _ in range(ROUNDS):
+        placed = materialize(with_roots(named, roots), "members")
         star = materialize(hub_pairs(placed), "pairs")
         near = near.unionByName(star)
-        star = materialize(_of_like_size(star, classes), "pairs")
-        links, done = links.unionByName(materialize(verified(star, known), "verified")), done.unionByName(star)
-        placed = materialize(with_roots(named, components(links)), "members")
+        like = materialize(_of_like_size(star, classes), "pairs")
+        done = done.unionByName(like)
+        roots = merged(roots, materialize(verified(like, known), "verified"))
+        discard(placed)
         _free_shuffles(spark)
-    around = near.select(F.col("a").alias("key"), F.col("b").alias("hub")).union(near.select("b", "b")).distinct()
-    around = materialize(with_roots(around, components(links)), "around")
-    links = links.unionByName(materialize(within_clusters(around, known), "verified"))
-    rest = materialize(_residual(placed, classes, around, done), "pairs")
-    links = links.unionByName(materialize(verified(rest, known), "verified"))
-    rep = classes.select("key", "rep")
-    between = links.join(rep.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b")
-    roots = components(between.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    out = rows.join(rep, "key", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+    placed = materialize(with_roots(named, roots), "members")
+    split = materialize(split_groups(placed), "split")
+    shared = with_salt(placed, "k", "key").join(unsalted(split.where(F.col("size") > crowd), "k"), ["g", "salt"]).select("key", "hub")
+    around = near.select(F.col("a").alias("key"), F.col("b").alias("hub")).union(shared)
+    around = around.union(around.select("hub", "hub")).distinct()
+    around = materialize(with_roots(around, roots).join(classes.select("key", "n"), "key"), "around")
+    inside = materialize(within_clusters(around, known), "verified")
+    rest = materialize(_residual(placed, split.where(F.col("size") <= crowd), classes, around, done), "pairs")
+    roots = merged(roots, inside.unionByName(materialize(verified(rest, known), "verified")))
+    _free_shuffles(spark)
+    # the smallest doc_id of a component's classes
+    named_roots = materialize(with_roots(classes.select("key", "rep"), roots), "classes")
+    least = named_roots.where("key <> root").groupBy("root").agg(F.min("rep").alias("low")).join(classes.select(F.col("key").alias("root"), "rep"), "root")
+    least = least.select("root", F.least("low", "rep").alias("component_id"))
+    named_roots = materialize(salted_join(named_roots, least, "root", "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")), "components")
+    discard(classes, named, lone, known, placed, split, around)
+    out = rows.join(named_roots, "key", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def members(crowd: DataFrame) -> DataFrame:
-    """(g, key, role, shared) of the groups that are needed.
+    """(g, key, role, shared, k, c) of the groups that are needed.
 
     ``least`` bounds from below what a set shares with each partner. With fewer
     signatures in all groups together it has no partner. Otherwise, in one common order of the
     groups by crowd, it needs no more than the groups before its last ``least - 1``
-    signatures: what two partners share first cannot come later.
+    signatures: what two partners share first cannot come later. ``c`` tells how central a
+    set is: how crowded its groups are, as those of an original among its edited copies.
     """
-    named = crowd.where(F.size("keys") > 1).select(F.xxhash64("keys", "roles").alias("g"), "shared", F.size("keys").alias("k"), F.explode(F.arrays_zip("keys", "roles", "least")).alias("m"))
-    named = named.groupBy("g", F.col("m.keys").alias("key"), F.col("m.roles").alias("role")).agg(F.sum("shared").alias("shared"), F.max("k").alias("k"), F.min("m.least").alias("least"))
+    named = crowd.where("k > 1").groupBy("g", "key", "role").agg(F.sum("shared").alias("shared"), F.max("k").alias("k"), F.min("least").alias("least"))
     whole = Window.partitionBy("key", "role")
     before = whole.orderBy("k", "g").rowsBetween(Window.unboundedPreceding, -1)
     named = named.withColumn("all", F.sum("shared").over(whole)).withColumn("before", F.coalesce(F.sum("shared").over(before), F.lit(0)))
-    return named.where("before <= all - least").select("g", "key", "role", "shared")
+    named = named.where("before <= all - least").select("g", "key", "role", "shared", "k")
+    return named.withColumn("c", F.sum(F.col("k").cast("long") * F.col("shared")).over(Window.partitionBy("key")))
 
 
 def with_roots(named: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
+def _salts(k: str):
+    return F.ceil(F.col(k) / SALT_ROWS).cast("int")
+
+
+def with_salt(rows: DataFrame, k: str, by: str) -> DataFrame:
+    """Rows of a group of ``k`` members with a salt, so that a join on the group deals large ones over several tasks."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), _salts(k)).cast("int"))
+
+
+def unsalted(groups: DataFrame, k: str) -> DataFrame:
+    """One row of each group for each salt that its members may have."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(k) - 1))).drop(k)
+
+
 def hub_pairs(placed: DataFrame) -> DataFrame:
-    """(a, b): each set and the hubs of other components with which it shares most, and those with most sets.
+    """(a, b): each set and the hubs of other components with which it shares most, and those of its largest groups.
 
-    A group's hub is its most central set at home: that whose groups are the most
-    crowded, as those of an original among its edited copies.
+    A group's hub is its most central set at home.
     """
     own = placed.where(F.col("role").bitwiseAND(GUEST) == 0)
-    crowd = Window.partitionBy("g")
-    central = placed.withColumn("k", F.count(F.lit(1)).over(crowd)).groupBy("key").agg(F.sum(F.col("k") * F.col("shared")).alias("c"))
-    ranked = own.join(central, "key").groupBy("g", "root").agg(F.max(F.struct("c", "key")).alias("h"))
-    hubs = ranked.groupBy("g").agg(F.max(F.struct("h", F.col("root").alias("to"))).alias("x")).select("g", F.col("x.h.key").alias("hub"), "x.to")
-    pairs = placed.join(hubs, "g").where("root <> to").groupBy("key", "hub").agg(F.sum("shared").alias("n"))
-    pairs = pairs.join(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("wide")), "hub")
+    hubs = own.groupBy("g").agg(F.max(F.struct("c", "key", "root")).alias("x"), F.first("k").alias("k")).select("g", "k", F.col("x.key").alias("hub"), F.col("x.root").alias("to"))
+    pairs = with_salt(placed, "k", "key").join(unsalted(hubs, "k"), ["g", "salt"]).where("root <> to")
+    pairs = pairs.groupBy("key", "hub").agg(F.sum("shared").alias("n"), F.max("k").alias("wide"))
     rank = lambda c: F.row_number().over(Window.partitionBy("key").orderBy(F.desc(c), "hub"))
     pairs = pairs.withColumn("_n", rank("n")).withColumn("_w", rank("wide")).where((F.col("_n") <= HUBS) | (F.col("_w") <= HUBS))
     return pairs.select(F.col("key").alias("a"), F.col("hub").alias("b"))
 
 
+def split_groups(placed: DataFrame) -> DataFrame:
+    """(g, k, hub, size) of the groups whose members are in different components."""
+    found = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("k").alias("k"), F.max(F.struct("c", "key")).alias("x"), F.count(F.lit(1)).alias("size"))
+    return found.where("lo <> hi").select("g", "k", F.col("x.key").alias("hub"), "size")
+
+
 def known_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The sets of all classes in pairs."""
     member = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
@@ -632,18 +767,19 @@ def _of_like_size(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.where((F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)).select("a", "b")
 
 
-def within_clusters(around: DataFrame, known: DataFrame, block: int = CLUSTER_BLOCK) -> DataFrame:
+def within_clusters(around: DataFrame, known: DataFrame, block: int = CLUSTER_BLOCK, most: int = CLUSTER_TOKENS) -> DataFrame:
     """Links (a, b) between sets around one hub that are in different components.
 
-    Each set outside the hub's component meets each set around the hub, in cells of at most
-    about ``block`` sets a side. A cell counts common tokens by a matrix product and gives
+    ``around`` has key, hub, root and n. Each set outside the hub's component meets each set around the hub, in cells of
+    about ``block`` sets and ``most`` tokens a side. A cell counts common tokens by a matrix product and gives
     one link for each outside set and component, so nothing is expanded into pairs.
     """
-    home = around.where("key = hub").select("hub", F.col("root").alias("home"))
-    rows = around.join(home, "hub").withColumn("outside", F.col("root") != F.col("home"))
-    counts = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("m")).where("m > 0")
-    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
-    rows = rows.join(counts.select("hub", parts("n").alias("all_parts"), parts("m").alias("out_parts")), "hub")
+    parts = lambda n, tokens: F.greatest(F.ceil(n / block), F.ceil(tokens / most)).cast("int")
+    whole = around.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("key") == F.col("hub"), F.col("root"))).alias("home"), parts(F.count(F.lit(1)), F.sum("n")).alias("all_parts"))
+    rows = salted_join(around, whole.where("lo <> hi").drop("lo", "hi"), "hub", "key").withColumn("outside", F.col("root") != F.col("home"))
+    rows = materialize(rows, "around")
+    out = rows.where("outside").groupBy("hub").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("out_parts"))
+    rows = salted_join(rows, out, "hub", "key")
     own = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
     every = rows.select("hub", "key", "root", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("out_parts") - 1)).alias("row"), own("all_parts").alias("col"))
     probes = rows.where("outside").select("hub", "key", "root", F.lit(True).alias("probe"), own("out_parts").alias("row"), F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("col"))
@@ -679,11 +815,10 @@ def _cell_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(key[left[i[one]]], pa.int64()), "b": pa.array(key[right[j[one]]], pa.int64())})
 
 
-def _residual(placed: DataFrame, classes: DataFrame, around: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of different components in a group that share no hub, not compared yet."""
-    split = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
+def _residual(placed: DataFrame, split: DataFrame, classes: DataFrame, around: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs of different components in a split, small group that share no hub, not compared yet."""
     hubs = around.groupBy("key").agg(F.collect_set("hub").alias("hubs"))
-    named = placed.join(split, "g", "left_semi").join(classes.select("key", "n"), "key").join(hubs, "key", "left")
+    named = placed.join(split.select("g"), "g", "left_semi").join(classes.select("key", "n"), "key").join(hubs, "key", "left")
     like = F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM
     roles = F.col("x.role").bitwiseAND(F.col("y.role")) == 0  # not both guests, not both only indexed
     apart = ~F.coalesce(F.arrays_overlap("x.hubs", "y.hubs"), F.lit(False))

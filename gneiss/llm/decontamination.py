@@ -10,12 +10,14 @@ substitutions at its ends count like others), of which at least ``MIN_IDENTITY``
 The overlap is the best run (a match gains 1, a substitution costs 2) if it is such a stretch,
 or else the whole item, or else the stretch with most matches, the first on ties.
 
-The benchmark is taken in blocks of bounded size; each block is broadcast and meets
-all documents whole, so there is no shuffle and no limit on either side.
+The benchmark is taken in blocks of bounded size. Each is broadcast, and one pass over the documents
+meets all of them: a task holds some documents' tokens and one block at a time. So there is
+no shuffle, no limit on either side, and one scan whatever the benchmark's size.
 
 Edge cases: tokens are lower-cased runs of letters, digits and underscores; a null text
-has none. Items with fewer tokens than the shortest seed spans (``SHORTEST``) cannot be told from chance
-and match nothing. A null item text matches nothing. Repeated items and repeated documents
+has none. Items of fewer tokens than ``SHORTEST``, which no seed fits into, cannot be told from chance inside
+a text: they match a document whose tokens are the item's and no others. An item without tokens or
+with a null text matches nothing. Repeated items and repeated documents
 each give their rows. With several runs between a document and an item the one with most
 matches counts, the first on ties. An empty table on either side gives no matches.
 Extra columns are ignored by ``find`` and kept by ``clean``.
@@ -28,16 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gneiss.llm.text_features import Hashes
 
 MASKS = ("111111", "11011011", "1010110101", "1100110011")
-SHORTEST = 8
+#: Tokens that the shortest seed spans.
+SHORTEST = 6
 MIN_OVERLAP = 13
 MIN_IDENTITY = 0.8
 BLOCK_TOKENS = 1_000_000
+#: Characters of text that a task holds while it goes through the blocks, if there are several.
+HELD = 32 << 20
 TABLE_BITS = 22
 WORDS = re.compile(r"\w+")
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -66,6 +71,10 @@ class Block:
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
+        self.short: dict[bytes, list[int]] = {}
+        for k, (_, h) in enumerate(items):
+            if len(h) < SHORTEST:
+                self.short.setdefault(h.tobytes(), []).append(k)
         self.masks = []
         for mask in MASKS:
             found = [seeds(h, mask) for _, h in items]
@@ -79,6 +88,8 @@ class Block:
 
     def overlaps(self, h: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item number, overlap, matches, start in the text, start in the item) of a text, one for each item."""
+        if len(h) < SHORTEST:
+            return [(k, len(h), len(h), 0, 0) for k in self.short.get(h.tobytes(), [])]
         diagonals = set()
         for mask, (hashed, item, at, bits) in zip(MASKS, self.masks, strict=True):
             own = seeds(h, mask)
@@ -86,11 +97,12 @@ class Block:
             if not len(near):
                 continue
             first = np.searchsorted(hashed, own[near], "left")
-            last = np.searchsorted(hashed, own[near], "right")
-            for p, a, b in zip(near[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
-                diagonals.update(zip(item[a:b].tolist(), (p - at[a:b]).tolist(), strict=True))
+            n = np.searchsorted(hashed, own[near], "right") - first
+            # a passage that repeats in the text, or in many items, gives each diagonal once
+            hit = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            diagonals.update(np.unique((item[hit].astype(np.int64) << 32) + np.repeat(near, n) - at[hit] + (1 << 31)).tolist())
         best: dict[int, tuple[int, int, int, int, int]] = {}
-        for k, shift in sorted(diagonals):
+        for k, shift in ((x >> 32, (x & 0xFFFFFFFF) - (1 << 31)) for x in sorted(diagonals)):
             run = best_run(h, self.items[k][1], shift)
             if run and (k not in best or run[1] > best[k][2]):
                 best[k] = (k, *run)
@@ -143,7 +155,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_TOKENS) -> Iterator[Block]:
     hashes, held, n = Hashes(), [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         h = tokens(r["text"], hashes)
-        if len(h) >= SHORTEST:
+        if len(h):
             held.append((r["item_id"], h))
             n += len(h)
         if n >= most:
@@ -153,37 +165,54 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_TOKENS) -> Iterator[Block]:
         yield Block(held)
 
 
+def shared_blocks(spark: SparkSession, benchmark: DataFrame, most: int) -> list[Broadcast]:
+    return [spark.sparkContext.broadcast(block) for block in blocks(benchmark, most)]
+
+
+def overlaps_of(batches: Iterator[pa.RecordBatch], shared: list[Broadcast]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+    """Batches with the overlaps of each row: item_id, overlap, matches, starts. Several blocks are read in turn for some batches at a time."""
+    hashes, held, size = Hashes(), [], 0
+
+    def met():
+        texts = [[tokens(t, hashes) for t in batch.column("text").to_pylist()] for batch in held]
+        found = [[[] for _ in x] for x in texts]
+        for x in shared:
+            block = x.value if len(shared) == 1 else x.load_from_path(x._path)  # not kept, unlike ``value``
+            for own, out in zip(texts, found, strict=True):
+                for h, rows in zip(own, out, strict=True):
+                    rows += [(block.items[r[0]][0], *r[1:]) for r in block.overlaps(h)]
+        yield from zip(held, found, strict=True)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if len(shared) == 1 or size >= HELD:
+            yield from met()
+            held, size = [], 0
+    if held:
+        yield from met()
+
+
 def find(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TOKENS) -> DataFrame:
     """A row for each document and item that overlap, with the overlap."""
-    spark: SparkSession = docs.sparkSession
-    out = spark.createDataFrame([], FOUND)
-    for block in blocks(benchmark, most):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            hashes, block = Hashes(), shared.value
-            for batch in batches:
-                rows = []
-                for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    rows += [(doc_id, block.items[x[0]][0], *x[1:]) for x in block.overlaps(tokens(t, hashes))]
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                kinds = [pa.int64()] * 2 + [pa.int32()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "overlap", "matches", "doc_start", "item_start"])
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, FOUND))
-    return out
+    shared = shared_blocks(docs.sparkSession, benchmark, most)
+
+    def run(batches):
+        for batch, found in overlaps_of(batches, shared):
+            rows = [(doc_id, *x) for doc_id, xs in zip(batch.column("doc_id").to_pylist(), found, strict=True) for x in xs]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "overlap", "matches", "doc_start", "item_start"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TOKENS) -> DataFrame:
     """The documents that no item overlaps, with all their columns."""
-    spark: SparkSession = docs.sparkSession
-    for block in blocks(benchmark, most):
-        shared = spark.sparkContext.broadcast(block)
+    shared = shared_blocks(docs.sparkSession, benchmark, most)
 
-        def run(batches, shared=shared):
-            hashes, block = Hashes(), shared.value
-            for batch in batches:
-                yield batch.filter(pa.array([not block.overlaps(tokens(t, hashes)) for t in batch.column("text").to_pylist()], pa.bool_()))
+    def run(batches):
+        for batch, found in overlaps_of(batches, shared):
+            yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

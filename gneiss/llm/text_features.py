@@ -27,6 +27,19 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Words(Hashes):
+    """By word the crc32 of its lower-cased form, and above it two bits: all capitals, all letters."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMORY:
+            self.clear()
+        h = self[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) | word.isupper() << 32 | word.isalpha() << 33
+        return h
+
+
+LOW = np.uint64(0xFFFFFFFF)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * MIX
     return h ^ (h >> np.uint64(29))
@@ -40,18 +53,19 @@ def ngram_ids(h: np.ndarray, dims: int, skip: bool) -> np.ndarray:
     return np.unique((np.concatenate(parts) & np.uint64(dims - 1)).astype(np.int32))
 
 
-def style_bins(text: str, words: list[str], h: np.ndarray) -> list[int]:
-    """One bin, of eight, for each trait of a text's surface."""
-    n, m = max(len(text), 1), max(len(words), 1)
+def style_bins(text: str, codes: np.ndarray) -> list[int]:
+    """One bin, of eight, for each trait of a text's surface; ``codes`` are those of ``Words``."""
+    n, m = max(len(text), 1), max(len(codes), 1)
     lines = [x for x in text.split("\n") if x.strip()]
-    upper = sum(map(str.isupper, words))
-    plain = sum(map(str.isalpha, words))
-    same = int(np.count_nonzero(h[1:] == h[:-1]))
+    upper, plain = np.count_nonzero(codes >> np.uint64(32) & np.uint64(1)), np.count_nonzero(codes >> np.uint64(33))
+    h = codes & LOW
+    same, ordered = np.count_nonzero(h[1:] == h[:-1]), np.sort(h)
+    kinds = np.count_nonzero(ordered[1:] != ordered[:-1]) + (len(h) > 0)
     shares = [
         upper / m,
         1 - plain / m,
         same / m,
-        1 - len(np.unique(h)) / m,
+        1 - kinds / m,
         1 - len(set(lines)) / max(len(lines), 1),
         n / m / 32,
         min(np.log2(m) / 20, 1.0),

@@ -5,8 +5,8 @@ one word, hashed into ``DIMS`` coordinates. Each coordinate has its own learning
 rate and an L1 penalty, so most weights stay exactly 0 and the
 broadcast model is the list of the others.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE``, smallest
-seeded hash) in the order of that hash; every row is scored over its whole text.
+The model is fitted on a bounded sample of labelled rows (at most ``SAMPLE`` rows and ``MOST_IDS``
+features, smallest seeded hash) in the order of that hash; every row is scored over its whole text.
 
 Edge cases: a null text counts as empty and scores by the bias alone. Without
 labelled rows each score is 0.5 less the bias of none: 0.5. A row with several
@@ -26,6 +26,8 @@ from gneiss.llm.text_features import TOKENS, Hashes, ngram_ids
 
 DIMS = 1 << 20
 SAMPLE = 12_000
+#: Features of the sample in all: what the driver holds.
+MOST_IDS = 32_000_000
 FOLDS, HELD_OUT = 5, 0
 SEED = 2
 THRESHOLD = 0.5
@@ -65,7 +67,7 @@ class Ftrl:
         return ids.astype(np.int32), w[ids].astype(np.float32), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, seed: int = SEED) -> Ftrl:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, seed: int = SEED, most: int = MOST_IDS) -> Ftrl:
     """A model of a bounded sample of labelled rows for which ``learn`` holds."""
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
@@ -74,11 +76,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     def run(batches):
         hashes = Hashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([features(t, hashes) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "toxic", "ids"])
-
-    rows = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id long, toxic int, ids array<int>")
-    rows = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    data = [(np.asarray(r["ids"], np.int64), r["toxic"]) for r in rows.toLocalIterator()]
+            found = [features(t, hashes).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "ids"])
+
+    rows = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id long, toxic int, ids binary")
+    data, held = [], 0
+    for r in rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").toLocalIterator():
+        ids = np.frombuffer(r["ids"], np.int32)
+        if held <= most:
+            data.append((ids, r["toxic"]))
+            held += len(ids)
     model = Ftrl()
     for _ in range(EPOCHS):
         for ids, label in data:

@@ -11,8 +11,8 @@ Edge cases: a null text counts as empty: no words, score 0, base rules failed.
 Rows with equal doc_id are scored one by one. Without trusted rows both
 multinomials are flat for a target and each score is the negative surprise
 of the raw corpus; pass labels that hold trusted rows. An empty table gives an
-empty result. Extra columns of the input are carried through; those whose names
-clash with an output column are replaced by it.
+empty result. Extra columns of the input are carried through, whatever their names; ``quality_rules``
+replaces those that clash with an output column by it, ``kept_documents`` keeps them.
 """
 
 from __future__ import annotations
@@ -143,9 +143,22 @@ def score(df: DataFrame, table: list[float], threshold: float = THRESHOLD) -> Da
     )
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Text beside one column with all others, so that no name of theirs meets a name used here."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_own"))
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col("_own").getField(c).alias(c) for c in columns]
+
+
+def judged(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int) -> DataFrame:
+    return score(base_rules(packed(docs)), weights(docs, labels, buckets), threshold)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Every row of ``docs`` with its base counts, score and verdict."""
-    return score(base_rules(docs.drop(*SCORED)), weights(docs, labels, buckets), threshold)
+    return judged(docs, labels, threshold, buckets).select(*unpacked([c for c in docs.columns if c not in SCORED]), *SCORED)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
@@ -154,5 +167,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     The row number keeps Spark from pushing the filter below the steps that make
     the verdict, where it would repeat each of them.
     """
-    judged = quality_rules(docs, labels, threshold, buckets).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    rows = judged(docs, labels, threshold, buckets).withColumn("_row", F.monotonically_increasing_id())
+    return rows.where(F.col("kept") & (F.col("_row") >= 0)).select(*unpacked(docs.columns))

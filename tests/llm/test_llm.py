@@ -2,12 +2,15 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from gneiss.llm import chat_format, decontamination, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, toxicity, warc
@@ -93,6 +96,46 @@ def test_quality_rules_score_and_verdict(spark, corpus, odd):
     assert quality_rules.quality_rules(docs, no_labels).count() == docs.count()
 
 
+def test_quality_rules_score_matches_plain_counts(spark, corpus):
+    """The score by plain counts of hashed unigrams and bigrams."""
+    docs, labels = corpus
+    rows = docs.where("doc_id < 120").unionByName(documents(spark, [(900, "Ünder_1 ## the THE, the", None, None), (901, None, None, None), (902, "a", "en", "b")])).collect()
+    table = spark.createDataFrame(rows, docs.schema)
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    mask = quality_rules.BUCKETS - 1
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(t.encode(), 42) for t in regex.findall(quality_rules.TOKEN, (text or "").lower())]
+        signed = [x - (1 << 64) if x >> 63 else x for x in h]
+        return [x & mask for x in signed] + [((a >> 7) ^ b) & mask for a, b in zip(signed, signed[1:], strict=False)]
+
+    raw, fine = Counter(), Counter()
+    for r in rows:
+        raw.update(grams(r.text))
+        if r.doc_id in good:
+            fine.update(grams(r.text))
+    n = quality_rules.BUCKETS
+    ratio = lambda x: math.log((fine[x] + 1) / (fine.total() + n)) - math.log((raw[x] + 1) / (raw.total() + n))
+    out = {r.doc_id: r for r in quality_rules.quality_rules(table, labels).collect()}
+    for r in rows:
+        ids = grams(r.text)
+        want = sum(map(ratio, ids)) / len(ids) if ids else 0.0
+        assert abs(out[r.doc_id].score - want) < 1e-9
+        assert out[r.doc_id].kept == (not base_by_hand(r.text)[-1] and want >= quality_rules.THRESHOLD)
+
+
+def test_quality_rules_carry_columns_of_any_name(spark, corpus):
+    docs, labels = corpus
+    names = ["_h", "_g", "_ids", "_at", "_dup", "_pairs", "_sorted", "_lines", "_words", "_row", "_own", "score", "kept"]
+    odd = docs.where("doc_id < 40")
+    for i, c in enumerate(names):
+        odd = odd.withColumn(c, F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")))
+    kept = quality_rules.kept_documents(odd, labels).collect()
+    assert kept and all(r[c] == f"{i}-{r.doc_id}" for r in kept for i, c in enumerate(names))
+    out = quality_rules.quality_rules(odd, labels)
+    assert out.count() == 40 and all(r[c] == f"{i}-{r.doc_id}" for r in out.collect() for i, c in enumerate(names) if c not in quality_rules.SCORED)
+
+
 def test_quality_rules_use_no_python(spark, corpus):
     plan = quality_rules.quality_rules(*corpus)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -121,6 +164,92 @@ def test_prior_estimate_is_a_little_low():
     assert 0.55 < quality_classifier.estimate_prior(pos, unl) < 0.72
 
 
+def plain_risk(pos, unl, prior, w, b):
+    """The non-negative risk and its gradient, row by row."""
+    size, sig = quality_classifier.DIMS + quality_classifier.STYLES, lambda x: 1 / (1 + math.exp(-x))
+    z = lambda ids: b + sum(w[i] * v for i, v in zip(ids.tolist(), quality_classifier.values_of(ids).tolist(), strict=True))
+
+    def side(rows, sign):
+        loss, g = 0.0, [0.0] * (size + 1)
+        for ids in rows:
+            s = sign * z(ids)
+            loss += math.log1p(math.exp(s)) / len(rows)
+            for i, v in [*zip(ids.tolist(), quality_classifier.values_of(ids).tolist(), strict=True), (size, 1.0)]:
+                g[i] += sign * sig(s) * v / len(rows)
+        return loss, g
+
+    plus, minus, other = side(pos, -1), side(pos, 1), side(unl, 1)
+    return plus, minus, other, prior * plus[0] + max(0.0, other[0] - prior * minus[0])
+
+
+def test_quality_risk_and_gradient_match_plain_sums(spark, corpus):
+    import numpy as np
+
+    docs, _ = corpus
+    rng = np.random.default_rng(3)
+    known = quality_classifier.Words()
+    texts = [r.text for r in docs.orderBy("doc_id").limit(30).collect()]
+    rows = [quality_classifier.features(t, known) for t in texts]
+    w, b = rng.normal(0, 0.3, quality_classifier.DIMS + quality_classifier.STYLES).astype(np.float32).astype(float), 0.2
+    _, _, (loss, gradient), _ = plain_risk(rows[:5], rows, 0.6, w, b)
+    own_loss, own = quality_classifier.unlabelled_sums(quality_classifier.Rows(rows), w, b)
+    assert abs(own_loss / 30 - loss) < 1e-5 and np.allclose(own / 30, gradient, atol=1e-5)
+    # the sums of all rows, however they lie
+    few = docs.where("doc_id < 30")
+    for n in (1, 7):
+        sums = quality_classifier.whole_sums(few.repartition(n).unionByName(few.limit(0)), w, b)
+        z = np.array([quality_classifier.Rows([r]).margins(w, b, np.arange(1))[0][0] for r in rows])
+        assert np.array_equal(sums[: quality_classifier.BINS], np.bincount(quality_classifier.bin_of(z), minlength=quality_classifier.BINS))
+        assert np.allclose(sums[quality_classifier.BINS : -1] / 30, gradient, atol=1e-5) and abs(sums[-1] / 30 - loss) < 1e-5
+    # a pilot of the rows alone, then with the difference to the sums of all of them
+    pos, pilot = [r for i, r in enumerate(rows) if i % 5][:12], rows[:9]
+    w0, b0 = quality_classifier.train(quality_classifier.Rows(pos), quality_classifier.Rows(pilot), 0.6)
+    (all_loss, all_slope), (own_loss, own) = (quality_classifier.unlabelled_sums(quality_classifier.Rows(x), w0, b0) for x in (rows, pilot))
+    shift = np.append(w0, b0), all_slope / len(rows) - own / len(pilot), all_loss / len(rows) - own_loss / len(pilot)
+    w1, b1 = quality_classifier.train(quality_classifier.Rows(pos), quality_classifier.Rows(pilot), 0.6, shift=shift)
+    risk = [plain_risk(pos, rows, 0.6, *x)[3] for x in ((0 * w0, 0.0), (w0, b0), (w1, b1))]
+    assert risk[2] < risk[1] and risk[2] < risk[0]
+
+
+def test_quality_uses_all_unlabelled_rows(spark, corpus):
+    import numpy as np
+
+    docs, labels = corpus
+    seen = lambda d: quality_classifier.fit(d, labels, F.lit(True), pilot=100)[0]
+    junk = docs.where("doc_id % 5 = 0 AND doc_id > 0")
+    # rows outside the pilot take part: more junk among them moves the weights and lowers the prior
+    more = docs.unionByName(junk.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(junk.withColumn("doc_id", F.lit(None).cast("long")))
+    a, b = quality_classifier.fit(docs, labels, F.lit(True), pilot=100), quality_classifier.fit(more, labels, F.lit(True), pilot=100)
+    assert b[2] < a[2] and not np.allclose(a[0], b[0])
+    assert np.allclose(seen(docs), seen(docs.repartition(3)), atol=1e-3)
+
+
+def test_ftrl_matches_plain_updates():
+    rng = random.Random(21)
+    model, dims = toxicity.Ftrl(50), 50
+    z, n = [0.0] * 51, [0.0] * 51
+
+    def weight(i):
+        l1 = 0.0 if i == dims else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    import numpy as np
+
+    for _ in range(400):
+        ids, y = sorted(rng.sample(range(50), 6)), rng.random() < 0.3
+        y = int(y or ids[0] < 3)
+        model.learn(np.asarray(ids, np.int32), y)
+        own = [*ids, dims]
+        w = [weight(i) for i in own]
+        g = 1 / (1 + math.exp(-sum(w))) - y
+        for i, x in zip(own, w, strict=True):
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * x
+            n[i] += g * g
+    at, values, bias = model.compact()
+    assert abs(bias - weight(dims)) < 1e-6 and at.tolist() == [i for i in range(50) if weight(i)] and 0 < len(at) < 50
+    assert all(abs(v - weight(i)) < 1e-6 for i, v in zip(at.tolist(), values.tolist(), strict=True))
+
+
 def test_toxicity_finds_insults(spark, corpus, odd):
     docs, labels = corpus
     model = toxicity.fit(docs, labels, F.lit(True))
@@ -147,6 +276,45 @@ def test_language_id(spark, odd):
     assert language_id.predict(none, language_id.fit(none)).count() == 0
 
 
+def test_language_id_takes_letters_and_marks_only(spark):
+    assert language_id.words_of("Über ½ cup") == ["über", "cup"] and language_id.words_of("हिन्दी भाषा") == ["हिन्दी", "भाषा"]
+    docs = documents(spark, [(i, "haus und garten", "de", "s") for i in range(30)] + [(i, t, None, "s") for i, t in enumerate(["²", "½ ①", "Ⅷ 8", "_ _", "̈", "x²"], 100)])
+    out = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    assert [out[i] for i in range(100, 106)] == ["und"] * 5 + ["de"]
+
+
+def test_language_id_scores_match_plain_counts(spark):
+    rng = random.Random(19)
+    words = {x: [x + "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6))) for _ in range(40)] for x in ("p", "q", "r")}
+    rows = [(i, " ".join(rng.choice(words["pqr"[i % 3]]) for _ in range(30)), "pqr"[i % 3], "s") for i in range(240)]
+    docs = documents(spark, [*rows, (999, "pabc zzz qabx 1", None, "s")])
+    learned = [(t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    count = {n: {x: Counter() for x in "pqr"} for n in range(5)}
+    for t, lang in learned:
+        for w in t.split():
+            count[0][lang][w] += 1
+            for n in range(1, 5):
+                count[n][lang].update(language_id.grams_of(w, n))
+    table = {}
+    for n in range(5):
+        known = {x: {w: k for w, k in count[n][x].items() if n or k > 1} for x in "pqr"}
+        total = {x: sum(count[n][x].values()) for x in "pqr"}
+        floor = min(math.log(min(known[x].values()) / total[x]) for x in "pqr") - 2
+        table[n] = {w: [math.log(known[x][w] / total[x]) if w in known[x] else floor for x in "pqr"] for w in set().union(*known.values())}
+
+    def score(text):
+        sums = [0.0] * 3
+        for w in re.findall("[a-z]+", text):
+            found = [table[0][w]] if w in table[0] else next((f for n in (4, 3, 2, 1) if (f := [table[n][g] for g in language_id.grams_of(w, n) if g in table[n]])), [[0.0] * 3])
+            sums = [s + sum(f[k] for f in found) / len(found) for k, s in enumerate(sums)]
+        odds = [math.exp(s - max(sums)) for s in sums]
+        return "pqr"[odds.index(1.0)], 1 / sum(odds)
+
+    for r in language_id.predict(docs, language_id.fit(docs)).join(docs.select("doc_id", "text"), "doc_id").collect():
+        lang, p = score(r.text)
+        assert r.lang_pred == lang and abs(r.score - p) < 1e-4
+
+
 # --- sharding and mixing -----------------------------------------------------
 
 
@@ -169,6 +337,33 @@ def test_sharding_matches_mixture(spark, odd):
     assert sharding.interleave(empty(spark)[0]).count() == 0
 
 
+def test_sharding_matches_plain_ranks(spark):
+    # many sources of one row beside a large one, repeated and null ids
+    rows = [(i, "x" * (i % 9), "en", f"one{i}") for i in range(3000)] + [(10_000 + i, "y" * (i % 5), "en", "large") for i in range(3000)] + [(None, "z", "en", "none")] * 500 + [(7, "same", "en", "large")] * 200
+    docs = documents(spark, rows)
+    order = defaultdict(list)
+    hashed = sharding.shuffled(docs).join(sharding.starts(sharding.shuffled(docs)), "_s").collect()
+    sizes = Counter(r._s for r in hashed)
+    sources = sorted({(int(math.log2(sizes[r._s])), r._s, r._u) for r in hashed})
+    ones = sorted(u for lg, _, u in sources if lg == 0)
+    assert max(b - a for a, b in zip(ones, ones[1:], strict=False)) < 4 / len(ones)  # evenly spread
+    for r in hashed:
+        order[r._s].append((r._h, r.doc_id, r["size"], r.text_crc32, r._u))
+    spots = [((k + x[4]) / len(v), x[1:4]) for v in order.values() for k, x in enumerate(sorted(v, key=lambda x: x[0]))]
+    got = [((r.doc_id, r["size"], r.text_crc32), r.shard, r.slot) for r in sharding.interleave(docs).collect()]
+    n, by = len(spots), defaultdict(list)
+    for at, (f, key) in enumerate(sorted(spots, key=lambda x: x[0])):
+        by[at * 16 // n].append((f, key))
+    assert len(hashed) == len(got) == len(rows)
+    for shard in range(16):
+        mine = [key for key, _ in sorted(((k, t) for k, s, t in got if s == shard), key=lambda x: x[1])]
+        want = [key for _, key in by[shard]]
+        assert len(mine) == len(want) and len(set(map(str, mine)) ^ set(map(str, want))) <= 2  # equal fractions at a cut
+        large = sum(k[0] is not None and (k[0] >= 10_000 or k[0] == 7 and k[1] == 5) for k in mine)
+        assert abs(large - 3200 / 16) <= 3
+        assert abs(sum(k[0] is None for k in mine) - 500 / 16) <= 3
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([100, 100, 100]) == [500 * 300 / 800, 2 * 300 / 8, 300 / 8]
     t = mixing.targets([10, 1000, 1000])
@@ -285,6 +480,44 @@ def test_jaccard_join_matches_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("hot", "crowd"), [(8, 64), (1 << 20, 2), (6, 3)])
+def test_jaccard_join_of_hot_and_crowded_groups(spark, hot, crowd):
+    # chains of edits: members of a group far apart from its hub, and passages that many texts share
+    rng, rows, passage = random.Random(15), [], prose(random.Random(16), 40)
+    for group in range(10):
+        w = prose(rng, 60).split()
+        for step in range(24):
+            w[rng.randrange(len(w))] = f"x{step}"
+            rows.append(" ".join(w) + (" " + passage if group % 2 else ""))
+    rng.shuffle(rows)
+    want = components_by_hand(list(enumerate(rows)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(documents(spark, [(i, t, "en", "a") for i, t in enumerate(rows)]), hot, crowd).collect()}
+    assert got == want
+
+
+def test_jaccard_join_of_a_large_group_of_different_near_copies(spark):
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(60)]
+    rows = [" ".join(base)]
+    for i in range(5000):
+        w = list(base)
+        w[rng.randrange(60)] = f"c{i}"
+        rows.append(" ".join(w))
+    rows += [" ".join(base[:30] + [f"far{i}_{j}" for j in range(30)]) for i in range(50)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(documents(spark, [(i, t, "en", "a") for i, t in enumerate(rows)])).collect()}
+    assert got == {i: 0 if i <= 5000 else i for i in range(len(rows))}
+
+
+def test_shingles_of_many_texts_match_sets_of_words():
+    rng = random.Random(18)
+    texts = [None, "", " \n", "a", "b b b b b b", "x" * 300 + " " + "y" * 9, "One two THREE four five six", "é è\x85ê"] + [" ".join(rng.choice("abc") * rng.randint(1, 20) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    flat, at = jaccard_join.shingle_sets([None if t is None else t.encode() for t in texts])
+    sizes = {i: n for i, (n, _) in components_by_hand(list(enumerate(texts))).items()}
+    assert [at[i + 1] - at[i] for i in range(len(texts))] == [sizes[i] for i in range(len(texts))]
+    again, _ = jaccard_join.shingle_sets([texts[6].lower().encode()])
+    assert again.tolist() == flat[at[6] : at[7]].tolist() and len(set(jaccard_join.set_keys(flat, at).tolist())) == len({tuple(flat[at[i] : at[i + 1]].tolist()) for i in range(len(texts))})
+
+
 def test_jaccard_join_edges(spark, odd):
     rows = jaccard_join.join(odd).collect()
     assert len(rows) == odd.count()
@@ -394,6 +627,46 @@ def test_longest_stretch_matches_brute_force():
                 assert got == ((min(fits)[2], min(fits)[1]) if fits else None)
 
 
+def test_decontamination_matches_brute_force(spark):
+    """All items of one to thirty tokens against all stretches of all diagonals."""
+    rng = random.Random(20)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (*range(1, 16), 20, 25, 30)] + [["again"] * 14, ["a", "b"] * 8]
+    texts = []
+    for _ in range(150):
+        out = [f"n{rng.randrange(10**6)}" for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(1, 3)):
+            part = list(rng.choice(items))
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                part[rng.randrange(len(part))] = f"x{rng.randrange(10**6)}"
+            out += part[rng.choice([0, 0, 2]) :] + [f"m{rng.randrange(10**6)}" for _ in range(rng.choice([0, 3]))]
+        texts.append(out)
+    texts += [*items, ["again"] * 40, []]
+
+    def found(text, item):
+        if len(item) < 6:
+            return text == item
+        for shift in range(-len(item) + 1, len(text)):
+            low, high = max(0, -shift), min(len(item), len(text) - shift)
+            same = [text[i + shift] == item[i] for i in range(low, high)]
+            # what no seed of the method hits cannot be found: an equal window under one of the masks is needed
+            if not any(all(same[i + j] for j, c in enumerate(m) if c == "1") for m in decontamination.MASKS for i in range(len(same) - len(m) + 1)):
+                continue
+            for i in range(len(same)):
+                for j in range(i + 1, len(same) + 1):
+                    whole = j - i == len(item)
+                    if 10 * sum(same[i:j]) >= 8 * (j - i) and (whole or j - i >= 13 and same[i] and same[j - 1]):
+                        return True
+        return False
+
+    docs = documents(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], ITEMS)
+    want = {(i, k) for i, t in enumerate(texts) for k, x in enumerate(items) if found(t, x)}
+    for most in (1_000_000, 40):
+        assert {(r.doc_id, r.item_id) for r in decontamination.find(docs, table, most).collect()} == want
+        assert {r.doc_id for r in decontamination.clean(docs, table, most).collect()} == set(range(len(texts))) - {i for i, _ in want}
+    assert len(want) > 100 and all((len(texts) - len(items) - 2 + k, k) in want for k in range(len(items)))
+
+
 # --- WARC ------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string"

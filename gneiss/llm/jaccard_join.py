@@ -89,7 +89,7 @@ SKETCH_BITS = 22
 HUBS = 4
 ROUNDS = 2
 #: Sets and tokens a side of a cell.
-CLUSTER_BLOCK = 1_000
+CLUSTER_BLOCK = 400
 CLUSTER_TOKENS = 2_000_000
 #: Texts from which on the entries of a signature are dealt by class, and the crowd that such a group counts as.
 HOT = 1 << 20
@@ -357,7 +357,7 @@ def entries(flat: np.ndarray, at: np.ndarray, levels: np.ndarray | None = None)
     few = np.flatnonzero(thin)
     full, short = listed_by(flat, at, level, few, 1)
     some = [(f, of, np.where(thin[of], role | INDEXED, role), np.where(thin[of], 1, least), low) for f, of, role, least, low in out]
-    return some + [(f, of, role, np.ones_like(least), low) for f, of, role, least, low in full], short
+    return some + full, short
 
 
 def entries_of(tokens: np.ndarray, frequent: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, int, int]], bool]:

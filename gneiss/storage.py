@@ -8,6 +8,8 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes the shuffle files of a query when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where the tables of ``materialize`` lie.
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -36,11 +38,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs no recomputation of what lies
-    before, and later passes read the columns that they need.
+    before, and later passes read the columns that they need. The shuffle files behind it
+    go when it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    held = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, held)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out

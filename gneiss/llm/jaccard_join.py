@@ -52,7 +52,6 @@ Extra columns are ignored. Hashes have 64 bits; classes are told apart by theirs
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 import zlib
@@ -88,9 +87,10 @@ SKETCH_BITS = 22
 #: Hubs with which a set is compared in a round, and rounds.
 HUBS = 4
 ROUNDS = 2
-#: Sets and tokens a side of a cell.
-CLUSTER_BLOCK = 400
+#: Sets a side of a cell, from and to, and tokens; and the sides into which a hub's sets are cut between these bounds.
+CLUSTER_BLOCKS = 100, 1_000
 CLUSTER_TOKENS = 2_000_000
+SIDES = 64
 #: Texts from which on the entries of a signature are dealt by class, and the crowd that such a group counts as.
 HOT = 1 << 20
 HOT_CROWD = 1 << 20
@@ -637,12 +637,6 @@ def links_at(links: DataFrame, end: str, roots: DataFrame) -> DataFrame:
 # --- join ------------------------------------------------------------------
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of frames that nothing holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def join(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
@@ -655,13 +649,11 @@ def join(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(2 * parts, int(total * ENTRIES_PER_TOKEN / GROUP_ENTRIES) + 1)
     found = materialize(crowds(listed(docs, groups, frequent_buckets(scanned, total, hot))), "crowds")
-    _free_shuffles(spark)
     named = materialize(members(found), "members")
     lone = materialize(found.where("k = 1").select("key").distinct(), "lone")
     discard(found)
     wanted = named.select("key").union(lone).distinct()
     known = materialize(class_sets(docs, classes.join(wanted, "key").select("key", F.col("rep").alias("doc_id"))), "tokens")
-    _free_shuffles(spark)
 
     # the few sets that need another way, then each set against hubs of its groups, then what is left
     nothing = spark.createDataFrame([], "a long, b long")
@@ -678,7 +670,6 @@ def join(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
         done = done.unionByName(like)
         roots = merged(roots, materialize(verified(like, known), "verified"))
         discard(placed)
-        _free_shuffles(spark)
     placed = materialize(with_roots(named, roots), "members")
     split = materialize(split_groups(placed), "split")
     shared = with_salt(placed, "k", "key").join(unsalted(split.where(F.col("size") > crowd), "k"), ["g", "salt"]).select("key", "hub")
@@ -688,7 +679,6 @@ def join(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     inside = materialize(within_clusters(around, known), "verified")
     rest = materialize(_residual(placed, split.where(F.col("size") <= crowd), classes, around, done), "pairs")
     roots = merged(roots, inside.unionByName(materialize(verified(rest, known), "verified")))
-    _free_shuffles(spark)
     # the smallest doc_id of a component's classes
     named_roots = materialize(with_roots(classes.select("key", "rep"), roots), "classes")
     least = named_roots.where("key <> root").groupBy("root").agg(F.min("rep").alias("low")).join(classes.select(F.col("key").alias("root"), "rep"), "root")
@@ -767,18 +757,19 @@ def _of_like_size(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.where((F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)).select("a", "b")
 
 
-def within_clusters(around: DataFrame, known: DataFrame, block: int = CLUSTER_BLOCK, most: int = CLUSTER_TOKENS) -> DataFrame:
+def within_clusters(around: DataFrame, known: DataFrame, blocks: tuple[int, int] = CLUSTER_BLOCKS, most: int = CLUSTER_TOKENS) -> DataFrame:
     """Links (a, b) between sets around one hub that are in different components.
 
     ``around`` has key, hub, root and n. Each set outside the hub's component meets each set around the hub, in cells of
-    about ``block`` sets and ``most`` tokens a side. A cell counts common tokens by a matrix product and gives
-    one link for each outside set and component, so nothing is expanded into pairs.
+    as many sets a side as give ``SIDES`` sides, within ``blocks``, and about ``most`` tokens. A cell counts common tokens by a
+    matrix product and gives one link for each outside set and component, so nothing is expanded into pairs.
     """
-    parts = lambda n, tokens: F.greatest(F.ceil(n / block), F.ceil(tokens / most)).cast("int")
-    whole = around.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("key") == F.col("hub"), F.col("root"))).alias("home"), parts(F.count(F.lit(1)), F.sum("n")).alias("all_parts"))
+    parts = lambda block: F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / most)).cast("int")
+    block = F.least(F.greatest(F.count(F.lit(1)) / SIDES, F.lit(blocks[0])), F.lit(blocks[1]))
+    whole = around.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("key") == F.col("hub"), F.col("root"))).alias("home"), block.alias("block"), parts(block).alias("all_parts"))
     rows = salted_join(around, whole.where("lo <> hi").drop("lo", "hi"), "hub", "key").withColumn("outside", F.col("root") != F.col("home"))
     rows = materialize(rows, "around")
-    out = rows.where("outside").groupBy("hub").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("out_parts"))
+    out = rows.where("outside").groupBy("hub").agg(parts(F.first("block")).alias("out_parts"))
     rows = salted_join(rows, out, "hub", "key")
     own = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
     every = rows.select("hub", "key", "root", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("out_parts") - 1)).alias("row"), own("all_parts").alias("col"))

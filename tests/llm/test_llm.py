@@ -151,7 +151,9 @@ def test_quality_classifier_separates(spark, corpus, odd):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     good, bad = [r.score for r in rows if r.doc_id % 5], [r.score for r in rows if r.doc_id % 5 == 0]
     assert min(good) > max(bad)
-    assert quality_classifier.classify(odd, labels).count() == odd.count()
+    found = quality_classifier.classify(odd, labels).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in odd.collect()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
+    assert len({r.score for r in found if r.doc_id in (1, 2)}) == len({r.score for r in found if r.doc_id == 6}) == 1  # null counts as empty, repeats agree
     assert quality_classifier.classify(*empty(spark)).count() == 0
 
 
@@ -257,7 +259,9 @@ def test_toxicity_finds_insults(spark, corpus, odd):
     assert 0 < len(at) < 2000
     out = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
     assert sum(out[i] == (i % 7 == 0) for i in out) / len(out) > 0.97
-    assert toxicity.classify(odd, labels).count() == odd.count()
+    found = toxicity.classify(odd, labels).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in odd.collect()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
+    assert len({r.score for r in found if r.doc_id in (1, 2, 3)}) == len({r.score for r in found if r.doc_id == 6}) == 1
     assert toxicity.classify(*empty(spark)).count() == 0
     assert {r.score for r in toxicity.classify(docs, empty(spark)[1]).collect()} == {0.5}
 
@@ -271,7 +275,9 @@ def test_language_id(spark, odd):
     assert all(out[i].lang_pred == ("en" if i % 2 else "de") for i in range(200))
     assert out[1000].lang_pred == "de" and out[1001].lang_pred == out[1002].lang_pred == "und"
     assert out[3].held_out == (zlib.crc32(b"3") % 3 == 1)
-    assert language_id.predict(odd, language_id.fit(odd)).count() == odd.count()
+    found = language_id.predict(odd, language_id.fit(odd)).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in odd.collect())
+    assert all((r.lang_pred, r.score) == ("und", 0.0) for r in found if r.doc_id in (1, 2, 3, 7)) and all(r.lang_pred in ("en", "de") for r in found if r.doc_id in (4, 5, 6))
     none, _ = empty(spark)
     assert language_id.predict(none, language_id.fit(none)).count() == 0
 
@@ -522,6 +528,7 @@ def test_jaccard_join_edges(spark, odd):
     rows = jaccard_join.join(odd).collect()
     assert len(rows) == odd.count()
     assert all((r.component_id is None) == (r.doc_id is None) for r in rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows if r.doc_id in (1, 2, 3, 6, 7)} == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (6, 1, 6), (7, 1, 7)}
     assert jaccard_join.join(empty(spark)[0]).count() == 0
 
 
@@ -564,6 +571,22 @@ def test_chat_collapse(spark):
     assert chat_format.format_chats(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_chat_takes_odd_tables(spark):
+    long = "word " * 100_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", None), (2, 0, "user", long), (3, 5, "user", "b"), (3, 5, "user", "a"), (3, 5, "user", "a"), (3, None, None, None), (None, 1, "user", "x"), (None, 1, "user", "x"), (4, -3, "user", "first"), (4, 2, "user", "last")]
+    table = spark.createDataFrame(rows, TURNS)
+    for name in ("pos", "h1", "_c", "_b", "part", "n_turns", "lines"):
+        table = table.withColumn(name, F.lit("mine"))
+    out = {r.conv_id: (r.n_turns, r.part, r.text) for r in chat_format.format_chats(table.repartition(5)).collect()}
+    turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert out == {
+        1: (2, 0, turn("user", long) + turn("assistant", "")),
+        3: (4, 0, turn("unknown", "") + turn("user", "a") * 2 + turn("user", "b")),
+        None: (2, 0, turn("user", "x") * 2),
+        4: (2, 0, turn("user", "first") + turn("user", "last")),
+    }
+
+
 def test_chat_in_parts(spark):
     rows = [(1, k, "user", str(k)) for k in range(2500)] + [(2, k, "user", str(k)) for k in range(1500)]
     out = sorted((r.conv_id, r.part, r.text.count("<|im_start|>")) for r in chat_format.format_chats(spark.createDataFrame(rows, TURNS)).collect())
@@ -691,6 +714,19 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.archive_pages(spark.createDataFrame([], PAGES))).count() == 0
 
 
+def test_warc_takes_odd_tables(spark):
+    big, long = "é" * 2_000_000, "x" * 150
+    rows = [(None, "u", long), (None, None, ""), (5, "u\r\nv", long), (5, "u", long), (7, None, long), (8, "u", big), (9, "u", big), (10, "u", None)]
+    pages = spark.createDataFrame(rows, PAGES)
+    for name in ("digest", "payload", "file", "record_type", "_first", "uri"):
+        pages = pages.withColumn(name, F.lit("mine"))
+    files = warc.archive_pages(pages.repartition(3))
+    got = Counter((r.page_id, r.payload_bytes, r.digest, r.record_type, r.refers_to) for r in warc.read_archives(files).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == Counter([(None, 150, sha(long), "revisit", 5), (None, 0, sha(""), "response", None), *[(5, 150, sha(long), "response", None)] * 2, (7, 150, sha(long), "revisit", 5), (8, 4_000_000, sha(big), "response", None), (9, 4_000_000, sha(big), "revisit", 8), (10, 0, sha(""), "response", None)])
+    assert warc.read_gaps(files).count() == 0
+
+
 def test_warc_takes_long_urls(spark):
     rows = [(1, "data:text/html," + "x" * 1_000_000, "a page with a very long url"), (2, "http://x.example/" + "é" * 70_000, "another " * 50), (3, "http://x.example/3", "another " * 50)]
     files = warc.archive_pages(spark.createDataFrame(rows, PAGES))

@@ -31,7 +31,7 @@ SEED = 3
 GOLDEN = (5**0.5 - 1) / 2
 #: Buckets of a source, and of the whole order; rows of a source a task, where their start is looked up.
 BUCKETS = 2048
-SALT_ROWS = 50_000
+SALT_ROWS = 2_000
 
 
 def shuffled(docs: DataFrame, seed: int = SEED) -> DataFrame:

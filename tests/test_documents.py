@@ -60,3 +60,78 @@ def test_url_normalize_folds_parent_parts(spark, tmp_path):
 
     got = {r.page_id: (r.host, r.path) for r in catalogue.queries()["url_normalize"](spark, str(tmp_path)).collect()}
     assert got == {i: ("x.example", fold(p)) for i, p in enumerate(paths)}
+
+
+def test_agent_responses_are_decoded_strictly():
+    import json
+
+    from gneiss.plans import agent
+
+    good = {"claims": [{"text": "t", "evidence_ids": ["e"]}], "concepts": []}
+    assert agent.decode(json.dumps(good)) == (good, [])
+    bad = {
+        "{": "invalid-json",
+        "[]": "not-an-object",
+        '{"claims": [], "concepts": [], "more": 1}': "unknown-field",
+        '{"claims": []}': "missing-field",
+        '{"claims": {}, "concepts": []}': "wrong-type",
+        '{"claims": [1], "concepts": []}': "wrong-type",
+        '{"claims": [{"text": "t", "evidence_ids": [1]}], "concepts": []}': "wrong-type",
+        '{"claims": [{"text": "t", "evidence_ids": [], "status": "verified"}], "concepts": []}': "unknown-field",
+        '{"claims": [], "concepts": [{"title": "t", "member_ids": []}]}': "missing-field",
+    }
+    for text, code in bad.items():
+        response, issues = agent.decode(text)
+        assert [x[0] for x in issues] == [code] and response == {"claims": [], "concepts": []}
+
+
+def test_agent_programs_are_bounded(tmp_path):
+    import sys
+
+    import pytest
+
+    from gneiss.plans import agent
+
+    run = lambda code, **more: agent.run_program([sys.executable, "-c", code], "hello", str(tmp_path), **more)
+    assert run("import sys; print(sys.stdin.read().upper(), end='')") == "HELLO"
+    for code, more, said in (("import time; time.sleep(9)", {"seconds": 1}, "took more"), ("print('x' * 99)", {"most": 50}, "wrote more"), ("import sys; sys.exit('bad luck')", {}, "bad luck"), ("", {"seconds": 0}, "out of range")):
+        with pytest.raises(ValueError, match=said):
+            run(code, **more)
+    ready = agent.Probe("a", "/bin/a", None, True, True, True, True)
+    other = agent.Probe("b", "/bin/b", True, True, True, True, True)
+    unsafe = agent.Probe("c", "/bin/c", True, True, True, False, True)
+    assert agent.choose([unsafe, ready, other]) is ready and agent.choose([ready, other], exclude="a") is other and agent.choose([ready, other], "b") is other
+    assert agent.choose([unsafe], "c") is None and agent.choose([ready], "off") is None and agent.choose([agent.Probe("d", None)]) is None
+
+
+def test_agent_loop_repairs_and_gives_up(spark, tmp_path):
+    import json
+
+    from gneiss.plans import agent
+
+    with open(os.path.join(tmp_path, "m.py"), "w") as f:
+        f.write("import os\n\n\ndef a():\n    return b()\n\n\ndef b():\n    return os.getcwd()\n")
+    ir = scan.scan(spark, str(tmp_path))
+    ids, known = {r.name: r.id for r in ir.entities.collect()}, ir.evidence.first().id
+    call = ir.relationships.where("kind = 'calls'").first()
+    good = {"claims": [{"text": "fine", "evidence_ids": [known]}], "concepts": [{"title": "Pair", "member_ids": [ids["a"], ids["b"]], "edge_ids": [call.id]}]}
+    wrong = {"claims": [{"text": "fine", "evidence_ids": ["nope"]}], "concepts": [{"title": "Pair", "member_ids": [ids["a"]], "edge_ids": ["made-up"]}]}
+    asked = []
+
+    def ask(request, issues):
+        asked.append(issues)
+        return ["not json", json.dumps(wrong), json.dumps(good)][min(len(asked) - 1, 2)]
+
+    done = agent.enrich(ir, ask, "someone", 2)
+    assert done.accepted and done.attempts == 3 and [[c for c, _ in x] for x in asked] == [[], ["invalid-json"], ["edge-not-supplied", "unknown-evidence", "unsupported-edge"]] and done.repaired == 4
+    assert [(r.provider, r.status) for r in done.claims.collect()] == [("someone", "draft")] and done.concepts.first().status == "draft"
+    asked.clear()
+    failed = agent.enrich(ir, ask, "someone", 1)
+    assert not failed.accepted and failed.attempts == 2 and failed.claims is None and ("unknown-evidence", "claims[0]") in failed.issues
+    ref = {r.status: r.ref_id for r in ir.references.collect()}
+    contains = ir.relationships.where("kind = 'contains'").first().id
+    rows = spark.createDataFrame([(x,) for x in (call.id, call.reference_id, contains, "nope", ref["unresolved"])], "id string")
+    assert {r.asked: (r.edge_id, r.problem) for r in agent.edge_lookup(rows, ir).collect()} == {call.id: (call.id, None), call.reference_id: (call.id, None), contains: (None, "not-semantic"), "nope": (None, "unknown"), ref["unresolved"]: (None, "unresolved")}
+    required = spark.createDataFrame([("x", ["b", "a", "c"]), ("y", ["a"]), ("z", ["q"])], "id string, evidence_ids array<string>")
+    cited = spark.createDataFrame([("x", ["a"]), ("y", ["a", "b"])], "id string, evidence_ids array<string>")
+    assert {r.id: r.missing for r in agent.missing_citations(required, cited).collect()} == {"x": ["b", "c"], "z": ["q"]}

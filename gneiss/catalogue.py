@@ -7,6 +7,7 @@ claims that need evidence, and events for the log of an inventory.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,10 +35,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    importlib.import_module("gneiss.catalogue_files")  # adds its own
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
 
 
@@ -563,12 +566,6 @@ def scope_shadowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("decision"), F.min("event_id").alias("first_id"))
 
 
-@query("""SELECT user_id, max(ts) AS last_seen, max(ts) < TIMESTAMP '2024-01-15 00:00:00' AS stale FROM events GROUP BY user_id""")
-def stale_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
-    return last.withColumn("stale", F.col("last_seen") < F.lit("2024-01-15 00:00:00").cast(last.schema["last_seen"].dataType))
-
-
 @query("""SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n, CAST(arg_min(event_id, (ts, event_id)) > arg_max(event_id, (ts, event_id)) AS BOOLEAN) AS inverted FROM events GROUP BY ALL""")
 def usage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_time = F.struct("ts", "event_id")

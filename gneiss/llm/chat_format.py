@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import with_offsets
+from gneiss.llm.common import materialize, with_offsets
 
 PART_TURNS = 1024
 START, END = "<|im_start|>", "<|im_end|>"
@@ -57,8 +57,11 @@ def maximal(rows: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, part, text of the maximal conversations."""
-    rows = prefixes(turns)
+    """conv_id, n_turns, part, text of the maximal conversations.
+
+    Prefixes are written once; finding the maximal ones reads no texts.
+    """
+    rows = materialize(prefixes(turns), "turns")
     kept = rows.join(maximal(rows), "_c", "left_semi")
     line = F.struct("pos", rendered(F.col("role"), F.col("text")).alias("line"))
     out = kept.withColumn("part", F.floor(F.col("pos") / PART_TURNS)).groupBy("_c", "conv_id", "n_turns", "part").agg(F.array_sort(F.collect_list(line)).alias("lines"))

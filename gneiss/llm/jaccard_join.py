@@ -657,7 +657,7 @@ def join(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
 
     # the few sets that need another way, then each set against hubs of its groups, then what is left
     nothing = spark.createDataFrame([], "a long, b long")
-    links, done, near = nothing, nothing, nothing
+    links, done, near, used = nothing, nothing, nothing, []
     for extra in short_pairs(docs, known.join(lone, "key", "left_semi")):
         extra = materialize(_of_like_size(extra, classes), "pairs")
         links = links.unionByName(materialize(verified(extra, known_of(docs, extra, classes)), "verified"))
@@ -668,8 +668,10 @@ def join(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
         near = near.unionByName(star)
         like = materialize(_of_like_size(star, classes), "pairs")
         done = done.unionByName(like)
-        roots = merged(roots, materialize(verified(like, known), "verified"))
-        discard(placed)
+        linked_now = materialize(verified(like, known), "verified")
+        roots = merged(roots, linked_now)
+        discard(placed, linked_now)
+        used += [star, like]
     placed = materialize(with_roots(named, roots), "members")
     split = materialize(split_groups(placed), "split")
     shared = with_salt(placed, "k", "key").join(unsalted(split.where(F.col("size") > crowd), "k"), ["g", "salt"]).select("key", "hub")
@@ -678,15 +680,19 @@ def join(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     around = materialize(with_roots(around, roots).join(classes.select("key", "n"), "key"), "around")
     inside = materialize(within_clusters(around, known), "verified")
     rest = materialize(_residual(placed, split.where(F.col("size") <= crowd), classes, around, done), "pairs")
-    roots = merged(roots, inside.unionByName(materialize(verified(rest, known), "verified")))
+    last = materialize(verified(rest, known), "verified")
+    roots = merged(roots, inside.unionByName(last))
+    discard(*used, known, around, inside, rest, last, placed, split)
     # the smallest doc_id of a component's classes
     named_roots = materialize(with_roots(classes.select("key", "rep"), roots), "classes")
     least = named_roots.where("key <> root").groupBy("root").agg(F.min("rep").alias("low")).join(classes.select(F.col("key").alias("root"), "rep"), "root")
     least = least.select("root", F.least("low", "rep").alias("component_id"))
     named_roots = materialize(salted_join(named_roots, least, "root", "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")), "components")
-    discard(classes, named, lone, known, placed, split, around)
-    out = rows.join(named_roots, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    discard(classes, named, lone)
+    # empty sets have no key to meet under
+    out = rows.where("key IS NOT NULL").join(named_roots, "key", "left").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rows.where("key IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
 
 
 def members(crowd: DataFrame) -> DataFrame:

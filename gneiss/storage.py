@@ -8,8 +8,8 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Removes the shuffle files of a query when it ends.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go when the query ends, and what goes to Python at a time is bounded by bytes, as texts may be long.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 #: Where the tables of ``materialize`` lie.
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -43,12 +43,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    held = spark.conf.get(CLEAN, "false")
-    spark.conf.set(CLEAN, "true")
+    held = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
     try:
+        for k, v in WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN, held)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out

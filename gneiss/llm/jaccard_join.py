@@ -89,7 +89,7 @@ HUBS = 4
 ROUNDS = 2
 #: Sets a side of a cell, from and to, and tokens; and the sides into which a hub's sets are cut between these bounds.
 CLUSTER_BLOCKS = 100, 1_000
-CLUSTER_TOKENS = 2_000_000
+CLUSTER_TOKENS = 500_000
 SIDES = 64
 #: Texts from which on the entries of a signature are dealt by class, and the crowd that such a group counts as.
 HOT = 1 << 20
@@ -100,7 +100,7 @@ CROWD = 64
 #: Classes that a task remembers, and rows and bytes of text that it holds at a time.
 MEMORY = 300_000
 ROWS = 1_000
-BYTES = 8 << 20
+BYTES = 2 << 20
 #: Bytes of a word up to which it is hashed together with all others.
 LONG = 256
 #: Parts in which sketches are summed.
@@ -656,12 +656,12 @@ def join(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     known = materialize(class_sets(docs, classes.join(wanted, "key").select("key", F.col("rep").alias("doc_id"))), "tokens")
 
     # the few sets that need another way, then each set against hubs of its groups, then what is left
-    nothing = spark.createDataFrame([], "a long, b long")
+    nothing = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     links, done, near, used = nothing, nothing, nothing, []
     for extra in short_pairs(docs, known.join(lone, "key", "left_semi")):
         extra = materialize(_of_like_size(extra, classes), "pairs")
         links = links.unionByName(materialize(verified(extra, known_of(docs, extra, classes)), "verified"))
-    roots = merged(spark.createDataFrame([], "node long, root long"), links)
+    roots = merged(nothing.toDF("node", "root"), links)
     for _ in range(ROUNDS):
         placed = materialize(with_roots(named, roots), "members")
         star = materialize(hub_pairs(placed), "pairs")

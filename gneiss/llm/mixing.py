@@ -9,9 +9,10 @@ words of that stream, as many as the target, are cut evenly over the source's
 slots: a source has a block length of its own. So the slots of a source together
 take its target to the word, whatever the corpus and the other sources.
 
-A document's taken words are the sum over its source's slots, which is how often
-the first words of the stream, up to the target, cover it. ``mix`` computes that sum from
-the target; ``schedule`` gives the order in which the slots take it.
+Every slot of the schedule is laid over the documents that its words come from; a
+document's taken words are the sum over those slots, and it enters the mixture at the
+first of them. Slots and documents meet in cells of a stream as long as a slot on average,
+so a document meets as many slots as it has words in, however long either is.
 
 Edge cases: a null source is a source of its own and comes last; a null text has
 size 0; documents of size 0 take nothing; repeated rows lie in the stream one by
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,27 +109,61 @@ def plan(rows: DataFrame) -> DataFrame:
     )
 
 
+def slots_of(sources: DataFrame) -> tuple[DataFrame, int]:
+    """The schedule's slots with the cells of their source's stream that they lie in; and the words in a cell, a slot's on average."""
+    table = schedule([r["target"] for r in sources.select("sidx", "target").orderBy("sidx").collect()])
+    cell = max(1, -(-int((table["end"] - table["begin"]).sum()) // max(len(table), 1)))
+    table = table.loc[table["end"] > table["begin"], ["slot", "sidx", "begin", "end"]].set_axis(["slot", "sidx", "_from", "_to"], axis=1)
+    slots = sources.sparkSession.createDataFrame(pa.Table.from_pandas(table, preserve_index=False))
+    return slots.withColumn("_cell", F.explode(F.expr(f"sequence(_from div {cell}, (_to - 1) div {cell})"))), cell
+
+
+def sourced(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with what is known of their source."""
+    return rows.alias("d").join(F.broadcast(sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "sidx", "source_size", "target", "words")
+
+
 def streams(rows: DataFrame, sources: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """Rows with their source's number and the word of its stream at which they begin.
+    """Rows with their source's number, the word of its stream at which they begin, and their bucket ``_b`` of it.
 
     ``_n``, where rows have it, tells rows of one doc_id and size apart, so that they fill no single bucket.
     """
-    keyed = rows.alias("d").join(F.broadcast(sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "sidx", "source_size", "target", "words")
+    keyed = sourced(rows, sources)
     keyed = keyed if "_n" in keyed.columns else keyed.withColumn("_n", F.lit(1).cast("long"))
     keyed = keyed.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "size", "_n")).withColumn("_b", bucket_of(F.col("_h"), buckets))
-    return with_offsets(keyed, ["sidx"], "_b", ["_h", "doc_id", "size", "_n"], "size", "start").drop("_h", "_b", "_n", "start_all")
+    return with_offsets(keyed, ["sidx"], "_b", ["_h", "doc_id", "size", "_n"], "size", "start").drop("_h", "_n", "start_all")
+
+
+def pieces(placed: DataFrame, slots: DataFrame, cell: int) -> DataFrame:
+    """A row for each round of a document, cell and slot in it; ``overlap`` counts the words that all share.
+
+    A document of which no slot takes a word has rows without a slot.
+    """
+    copies = placed.withColumn("_round", F.explode(F.expr("sequence(0L, greatest(0L, (words - start - 1) div source_size))")))
+    copies = copies.withColumn("_low", F.expr("start + _round * source_size")).withColumn("_high", F.expr("least(_low + size, words)"))
+    cut = copies.withColumn("_cell", F.explode(F.expr(f"sequence(_low div {cell}, greatest(_low, _high - 1) div {cell})")))
+    shared = F.expr(f"least(_high, _to, (_cell + 1) * {cell}) - greatest(_low, _from, _cell * {cell})")
+    return cut.join(F.broadcast(slots), ["sidx", "_cell"], "left").withColumn("overlap", F.when(F.col("slot").isNull() | (shared < 0), 0).otherwise(shared))
+
+
+def dealt(rows: DataFrame, sources: DataFrame, *by: str) -> DataFrame:
+    """Sized rows that have words, with the words that the schedule's slots take of them and the first such slot; one row for each ``by``, such as its rounds."""
+    slots, cell = slots_of(sources)
+    placed = streams(rows.where("size > 0"), sources)
+    found = pieces(placed, slots, cell).groupBy(*placed.columns, *by)  # rows of a bucket lie together, so this moves none
+    return found.agg(F.sum("overlap").cast("long").alias("taken"), F.min(F.when(F.col("overlap") > 0, F.col("slot"))).alias("first_slot")).drop("_b", "sidx", "start", "words")
 
 
 def taken_of(rows: DataFrame) -> DataFrame:
-    """Sized rows with their source's size and target, and their taken words: those of whole rounds and of the last, begun one."""
-    rounds, rest = F.expr("words div nullif(source_size, 0)"), F.expr("words % nullif(source_size, 0)")
-    last = F.least(F.greatest(rest - F.col("start"), F.lit(0)), F.col("size"))
-    taken = F.when(F.col("size") > 0, rounds * F.col("size") + last).otherwise(0).cast("long")
-    return streams(rows, plan(rows)).withColumn("taken", taken).drop("sidx", "start", "words")
+    """Sized rows with their source's size and target, the words that the schedule takes of them, and the first slot that takes one, or null."""
+    sources = plan(rows)
+    nothing = sourced(rows.where("size = 0"), sources).drop("_n", "sidx", "words")
+    nothing = nothing.withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")})
+    return dealt(rows, sources).unionByName(nothing)
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken words of every row."""
+    """doc_id, source, size, source_size, target, taken words and first slot of every row."""
     return taken_of(sized(docs))
 
 

@@ -429,6 +429,38 @@ def test_mixing_takes_what_its_slots_cover(spark):
         assert taken[r.doc_id] == sum(words[w] for w in range(r.start, r.start + r["size"]))
 
 
+def test_mixing_follows_the_schedule(spark, monkeypatch):
+    docs = documents(spark, [(i, "w " * (i % 11), "en", f"s{i % 3}") for i in range(200)] + [(200, "w " * 900, "en", "s0")])
+    rows = mixing.sized(docs)
+    sources = mixing.plan(rows)
+    whole = mixing.schedule([r.target for r in sources.orderBy("sidx").collect()], 60)
+    for table in (whole, whole[whole["slot"] % 3 != 1], whole.tail(7), whole.head(0)):
+        monkeypatch.setattr(mixing, "schedule", lambda target, table=table: table)
+        covered = defaultdict(list)
+        for r in table.itertuples():
+            covered[r.sidx] += [(w, r.slot) for w in range(r.begin, r.end)]
+        got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+        assert len(got) == 201
+        for r in mixing.streams(rows, sources).collect():
+            mine = [slot for w, slot in covered[r.sidx] if r.start <= w % r.source_size < r.start + r["size"]]
+            assert got[r.doc_id].taken == len(mine)
+            assert got[r.doc_id].first_slot == min(mine, default=None)
+
+
+def test_mixing_keeps_its_shares_from_the_first_slots_on(spark):
+    docs = documents(spark, [(i, "w " * (i % 11), "en", f"s{i % 3}") for i in range(3000)])
+    rows = [r for r in mixing.mix(docs).collect() if r.taken]
+    target = {r.source: r.target for r in rows}
+    for part in (8, 4, 2):
+        # documents that enter in the first slots of the mixture: by source as its target asks
+        cut = max(r.first_slot for r in rows) // part
+        early = Counter()
+        for r in rows:
+            early[r.source] += r["size"] * (r.first_slot < cut)
+        for s in target:
+            assert abs(early[s] / sum(early.values()) - target[s] / sum(target.values())) < 0.05
+
+
 def test_mixed_documents_keep_rows_without_doc_id(spark):
     rows = [(None, "a b c d", "en", "a"), (None, "", "en", "b"), (2, "a b c d " * 20, "en", "b"), (9, "p q r", "en", "c"), (9, "x y " * 200, "en", "d")]
     docs = documents(spark, rows)

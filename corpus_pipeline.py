@@ -48,7 +48,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: none to three times, by whole documents.
+    """Documents as often as the slots of the mixture's schedule take them: none to three times, by whole documents.
 
     Each source has its target to within half of one document. Rows without words take no part and stay once; a null source is a
     source of its own, and rows with a null or repeated doc_id count each for itself.

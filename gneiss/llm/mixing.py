@@ -167,21 +167,21 @@ def mix(docs: DataFrame) -> DataFrame:
     return taken_of(sized(docs))
 
 
-def mixed_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents of the mixture: each as often as the mixture takes it, rounded.
+def mixed_documents(docs: DataFrame, columns: list[str], slot: str | None = None) -> DataFrame:
+    """The documents of the mixture: a copy for each round of a document of which the schedule's slots take at least half.
 
     A source's stream covers a document as a whole, once for each of its rounds, but for the one at
     which the target ends: so a source's words differ from its target by at most half of one
-    document. A document of which the schedule takes less than half is left out; documents
-    without words, which take no part in the mixture, stay once. Each row counts for
+    document. Documents without words, which take no part in the mixture, stay once. Each row counts for
     itself, also where a doc_id is null or repeats. Null texts have no words; null sources are a
-    source of their own. An empty table gives an empty result.
+    source of their own. An empty table gives an empty result. A column named ``slot``, if
+    given, has the slot at which a copy enters, or null without words: in its order, the mixture has its shares from the first documents on.
     """
     text = F.xxhash64("text")
     row = F.monotonically_increasing_id()
     held = docs.select(F.struct(*columns).alias("_doc"), "doc_id", "source", word_count(clean_text()).alias("size"), row.alias("_row"), F.when(F.col("doc_id").isNull(), F.xxhash64("text", row)).otherwise(text).alias("_n"))
     held = materialize(held, "mixing")  # numbers of rows hold only once they are written
-    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    taken = taken_of(held.drop("_doc")).select("_row", times.alias("_times")).where("_times > 0")
-    out = held.select("_row", "_doc").join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.select("_doc.*")
+    copies = dealt(held.drop("_doc"), plan(held), "_round").where("2 * taken >= size").select("_row", "first_slot")
+    copies = copies.unionByName(held.where("size = 0").select("_row", F.lit(None).cast("long").alias("first_slot")))
+    out = held.select("_row", "_doc").join(copies, "_row")
+    return out.select("_doc.*", *([F.col("first_slot").alias(slot)] if slot else []))

@@ -472,6 +472,30 @@ def test_mixed_documents_keep_rows_without_doc_id(spark):
     assert got == +want and got[(None, "a")] == 3 and want[(9, "c")] != want[(9, "d")]
 
 
+def test_mixed_documents_follow_the_schedule(spark, monkeypatch):
+    docs = documents(spark, [(i, "w " * (1 + i % 11), "en", f"s{i % 3}") for i in range(90)] + [(90, "w " * 400, "en", "s0"), (91, "", "en", "s1")])
+    rows = mixing.sized(docs).drop("_n").join(docs.select("doc_id", F.xxhash64("text").alias("_n")), "doc_id").where("size > 0")
+    sources = mixing.plan(rows)
+    placed = mixing.streams(rows, sources).collect()
+    whole = mixing.schedule([r.target for r in sources.orderBy("sidx").collect()], 60)
+    for table in (whole[whole["slot"] % 3 != 1], whole, whole.tail(7), whole.head(0)):
+        monkeypatch.setattr(mixing, "schedule", lambda target, table=table: table)
+        covered = defaultdict(dict)
+        for r in table.itertuples():
+            covered[r.sidx].update(dict.fromkeys(range(r.begin, r.end), r.slot))
+        want = Counter({(91, None): 1})
+        for r in placed:
+            for begin in range(r.start, 3 * r.source_size, r.source_size):
+                mine = [covered[r.sidx][w] for w in range(begin, begin + r["size"]) if w in covered[r.sidx]]
+                if 2 * len(mine) >= r["size"]:
+                    want[(r.doc_id, min(mine))] += 1
+        times = Counter()
+        for (doc_id, _), n in want.items():
+            times[doc_id] += n
+        assert Counter(r.doc_id for r in mixing.mixed_documents(docs, ["doc_id"]).collect()) == times
+        assert Counter((r.doc_id, r.at) for r in mixing.mixed_documents(docs, ["doc_id"], "at").collect()) == want
+
+
 def test_mixed_documents_repeat(spark):
     docs = documents(spark, [(1, "a b c d", "en", "a"), (2, "a b c d " * 20, "en", "b"), (3, "", "en", "b")])
     times = Counter(r.doc_id for r in mixing.mixed_documents(docs, ["doc_id", "text"]).collect())

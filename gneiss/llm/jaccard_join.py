@@ -55,7 +55,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +105,8 @@ BYTES = 2 << 20
 LONG = 256
 #: Parts in which sketches are summed.
 PARTS = 64
+#: Links a task in the rounds that find components, where a shuffle has more partitions than they need.
+LINKS = 10_000
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -590,28 +592,44 @@ def short_pairs(docs: DataFrame, short: DataFrame, block: int = 2_000_000) -> li
 # --- components ------------------------------------------------------------
 
 
+def few(links: DataFrame, n: int) -> DataFrame:
+    """A table of about ``n`` links in no more tasks than they need, however many partitions a shuffle has; never in more."""
+    return links.coalesce(-(-max(n, 1) // LINKS))
+
+
+def shape(edges: DataFrame) -> tuple[int, bool]:
+    """The number of distinct links (u, v), and whether they are stars: no u has two v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    n, inner = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count(F.when((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)), 1))).first()
+    return n, inner == 0
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of links (a, b): the smallest node that links reach."""
+    """(node, root) of all nodes of links (a, b): the smallest node that links reach.
+
+    Stars around their smallest nodes are what the rounds end at, so once links are stars no round follows.
+    """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "links")
-    told = None
     while True:
+        n, done = shape(edges)
+        if done:
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(few(edges.select("v", F.col("v").alias("root")).distinct(), n))
+            out = materialize(out, "roots")
+            discard(edges)
+            return out
         # large star: larger neighbours of u go to the smallest of u and its neighbours
         before = edges
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = few(near.groupBy("u").agg(F.min("v").alias("m")), 2 * n).select("u", F.least("u", "m").alias("m"))
+        edges = few(near.join(least, "u"), 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = few(edges.distinct(), 2 * n)
         # small star: u and its smaller neighbours go to the smallest of them
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        least = few(edges.groupBy("u").agg(F.min("v").alias("m")), n)
+        moved = few(edges.join(least, "u"), 2 * n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(few(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), n), "links")
         discard(before)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == told:
-            out = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct()), "roots")
-            discard(edges)
-            return out
-        told = now
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -657,11 +675,13 @@ def join(docs: DataFrame, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
 
     # the few sets that need another way, then each set against hubs of its groups, then what is left
     nothing = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    links, done, near, used = nothing, nothing, nothing, []
+    done, near, used, extras = nothing, nothing, [], []
     for extra in short_pairs(docs, known.join(lone, "key", "left_semi")):
         extra = materialize(_of_like_size(extra, classes), "pairs")
-        links = links.unionByName(materialize(verified(extra, known_of(docs, extra, classes)), "verified"))
-    roots = merged(nothing.toDF("node", "root"), links)
+        extras.append(materialize(verified(extra, known_of(docs, extra, classes)), "verified"))
+    roots = nothing.toDF("node", "root")
+    if extras:
+        roots = merged(roots, reduce(DataFrame.unionByName, extras))
     for _ in range(ROUNDS):
         placed = materialize(with_roots(named, roots), "members")
         star = materialize(hub_pairs(placed), "pairs")

@@ -505,6 +505,34 @@ def test_mixed_documents_repeat(spark):
 # --- near duplicates ---------------------------------------------------------
 
 
+def test_rounds_of_components_need_few_tasks(spark):
+    """The driver keeps and logs every task, so small tables of links take no task for each partition of a shuffle."""
+    rng, conf = random.Random(13), {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    chain = [(i, i + 1) for i in range(-20, 20)]
+    star, wrong = [(100, i) for i in range(101, 140)], [(299, i) for i in range(200, 299)]
+    loose = [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)]
+    held, tracker = {k: spark.conf.get(k) for k in conf}, spark.sparkContext.statusTracker()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for name, links, most in (("none", [], 100), ("star", star, 1000), ("all", chain + star + wrong + loose + loose[:9], 3000)):
+            root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+            for _ in root:
+                for a, b in links:
+                    if a != b:
+                        root[a] = root[b] = min(root[a], root[b])
+            spark.sparkContext.setJobGroup(f"components-{name}", name)
+            found = jaccard_join.components(spark.createDataFrame(links, "a long, b long")).collect()
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"components-{name}")]
+            tasks = sum(tracker.getStageInfo(i).numCompletedTasks for i in {i for j in jobs for i in j.stageIds})
+            assert len(found) == len(root) and {r.node: r.root for r in found} == root
+            assert tasks <= most, name
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def components_by_hand(rows):
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))

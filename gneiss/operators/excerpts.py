@@ -21,7 +21,8 @@ def excerpts(evidence: DataFrame, files: DataFrame, most: int = MOST, each: int
     """
     spans = evidence.orderBy("path", "start_byte", "end_byte", "id").limit(most)
     content = F.col("content").cast("binary")
-    read = spans.join(files.select("path", "content", F.col("content_hash").alias("_hash")), "path").where(F.col("content").isNotNull() & (F.col("_hash") == F.col("content_hash")) & (F.sha2(content, 256) == F.col("content_hash")))
+    # at most ``most`` short rows: contents stay where they are read, and only those asked for go on
+    read = files.select("path", "content", F.col("content_hash").alias("_hash")).join(F.broadcast(spans), "path").where(F.col("content").isNotNull() & (F.col("_hash") == F.col("content_hash")) & (F.sha2(content, 256) == F.col("content_hash")))
     size = F.octet_length(content).cast("long")
     fits = (F.col("start_byte") <= F.col("end_byte")) & (F.col("end_byte") <= size) & (F.col("start_byte") >= 0)
     cut = F.substring(content, (F.col("start_byte") + 1).cast("int"), F.least(F.col("end_byte") - F.col("start_byte"), F.lit(each)).cast("int"))
@@ -43,7 +44,8 @@ def excerpts(evidence: DataFrame, files: DataFrame, most: int = MOST, each: int
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in EXCERPTS.split(", ")])
 
-    return rows.coalesce(1).sortWithinPartitions("path", "start_byte", "end_byte", "id").mapInArrow(run, EXCERPTS)
+    # a shuffle of these rows alone: without one, all that is read before would be one task too
+    return rows.repartition(1).sortWithinPartitions("path", "start_byte", "end_byte", "id").mapInArrow(run, EXCERPTS)
 
 
 def _text(data: bytes) -> str:

@@ -1,6 +1,7 @@
 """Checks of documents, excerpts of evidence, written states, and the command line."""
 
 import datetime
+import hashlib
 import json
 import os
 import urllib.parse
@@ -146,3 +147,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(said().splitlines()[-1]) == {"added": 1, "modified": 1, "unchanged": 3}
     assert call("verify", str(root)) == 0 and call("doctor", str(root)) == 0
     assert call("scan", str(root), "--config", str(tmp_path / "missing.toml")) == 1
+
+
+def test_contents_behind_excerpts_are_not_shuffled(spark):
+    files = spark.createDataFrame([(f"f{i}", f"line {i}\n", hashlib.sha256(f"line {i}\n".encode()).hexdigest()) for i in range(5)], "path string, content string, content_hash string").repartition(3)
+    spans = files.select(F.col("path").alias("id"), "path", F.lit(1).cast("long").alias("start_line"), F.lit(1).cast("long").alias("end_line"), F.lit(0).cast("long").alias("start_byte"), F.lit(4).cast("long").alias("end_byte"), "content_hash")
+    df = excerpts.excerpts(spans, files, 2)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Coalesce" not in plan
+    assert sorted((r.evidence_id, r.text) for r in df.collect()) == [("f0", "line"), ("f1", "line")]
